@@ -2,8 +2,9 @@
 
 Every row is a point of metadata coordinates, scaled to 0..1, and weighs its bytes. A node of the tree is split
 along its widest dimension where the weight left of the cut reaches the share of its left leaves, until a node
-is one leaf of the target bytes. Rows with equal coordinates are told apart by the checksum of the text and then
-by the id, so a cut falls between single rows and equal texts stay side by side.
+is one leaf of the target bytes. Equal texts (same size and checksum) form a group that shares one point, the
+least of its coordinates, and stays together; a group of over ``WHOLE`` of a leaf is dealt by id to parts of that
+size, so that it can't unbalance the leaves. Points with equal coordinates are told apart by the checksum.
 
 The cut is found digit by digit: one aggregation per digit counts the weight of each value of the digit (at most
 ``2 ** DIGIT_BITS`` values a node), so neither a task nor the driver holds the rows of a node.
@@ -21,7 +22,8 @@ from facetloom.llm.common import numbered, stored, table, text_of
 
 SHARDS = 16
 DIGIT_BITS = 12
-DIGITS = 6  # 12 bits each: coordinate, checksum (12 + 12 + 8 of 32), id hash (2 x 12)
+DIGITS = 5  # coordinate, checksum (12 + 12 + 8 bits of 32), part of a large group
+WHOLE = 0.02
 
 
 class KdSharder:
@@ -42,19 +44,23 @@ class KdSharder:
 
     def assign(self, docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
         """id, size, crc, shard of every row."""
+        top = (1 << DIGIT_BITS) - 1
         points = self._points(docs, id_column, text)
         names = [c for c in points.columns if c.startswith("x_")]
         points = stored(points)
+        total = points.agg(F.sum("size")).first()[0] or 0
+        groups = points.groupBy("size", "crc").agg(F.count(F.lit(1)).alias("n"), *[F.min(n).alias(n) for n in names])
+        parts = F.least(F.ceil(F.col("n") * F.col("size") / F.lit(max(total * WHOLE / self.shards, 1.0))), F.lit(top + 1))
+        groups = groups.withColumn("parts", F.when(F.col("n") == 1, 1).otherwise(parts)).drop("n")
+        points = stored(points.select("id", "size", "crc").join(groups, ["size", "crc"]))
         span = points.agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
-        top = (1 << DIGIT_BITS) - 1
         scaled = [
             F.when(F.col(n).isNull(), 0).otherwise(F.floor((F.col(n) - F.lit(span[f"lo_{n}"] or 0.0)) / F.lit(max((span[f"hi_{n}"] or 0.0) - (span[f"lo_{n}"] or 0.0), 1e-12)) * (top - 1)) + 1).cast("int").alias(n)
             for n in names
         ]
-        tie = F.pmod(F.xxhash64("id", "size", "crc"), F.lit(1 << (2 * DIGIT_BITS)))
-        work = points.select("id", "size", "crc", *scaled, tie.alias("tie"))
+        work = points.select("id", "size", "crc", *scaled, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
         shifted = lambda c, bits: F.shiftright(c, bits).bitwiseAND(top)
-        rest = [shifted(F.col("crc"), 20), shifted(F.col("crc"), 8), F.col("crc").bitwiseAND(255), shifted(F.col("tie"), 12), F.col("tie").bitwiseAND(top)]
+        rest = [shifted(F.col("crc"), 20), shifted(F.col("crc"), 8), F.col("crc").bitwiseAND(255), F.col("part")]
 
         node, active = F.lit(0), {0: (0, self.shards)}  # node number -> its leaves
         self.splits = []
@@ -77,10 +83,11 @@ class KdSharder:
                 for r in here.where(on_cut).groupBy("node", digits[place].alias("d")).agg(F.sum("size").alias("w")).collect():
                     weights[r["node"]].append((r["d"], r["w"]))
                 for k, c in cuts.items():
-                    pairs = sorted(weights[k])
+                    pairs, c["closed"] = sorted(weights[k]), False
                     for d, w in pairs:
-                        if c["left"] < w or d == pairs[-1][0]:
+                        if c["left"] < (w / 2 if place == DIGITS - 1 else w) or d == pairs[-1][0]:
                             c["digits"].append(d)
+                            c["closed"] = c["left"] >= w / 2
                             break
                         c["left"] -= w
             children = {}
@@ -88,8 +95,8 @@ class KdSharder:
                 lo, hi = active[k]
                 goes_left, before = F.lit(False), F.lit(True)
                 for i, (digit, value) in enumerate(zip(digits, c["digits"])):
-                    # the rows on the cut itself go to the side that ends nearer to its share
-                    goes_left, before = goes_left | (before & ((digit <= value) if i == DIGITS - 1 and c["left"] > 0 else (digit < value))), before & (digit == value)
+                    # the point on the cut goes to the right unless most of it belongs to the left
+                    goes_left, before = goes_left | (before & ((digit <= value) if i == DIGITS - 1 and c["closed"] else (digit < value))), before & (digit == value)
                 c["goes_left"] = goes_left
                 children[2 * k + 1], children[2 * k + 2] = (lo, lo + (hi - lo) // 2), (lo + (hi - lo) // 2, hi)
             step = F.col("node")

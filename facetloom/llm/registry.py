@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["license_scan", "sharding", "quality_rules", "packing", "token_counts"]
+MODULES = ["license_scan", "sharding", "mixing", "quality_rules", "packing", "pii", "token_counts"]
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
     _module = import_module(f"facetloom.llm.{_name}")

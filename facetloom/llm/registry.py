@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["license_scan", "sharding", "mixing", "toxicity", "quality_rules", "packing", "pii", "mtree", "token_counts"]
+MODULES = ["license_scan", "sharding", "ngram_join", "mixing", "toxicity", "quality_rules", "packing", "pii", "mtree", "token_counts"]
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
     _module = import_module(f"facetloom.llm.{_name}")

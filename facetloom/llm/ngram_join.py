@@ -13,8 +13,10 @@ An n-gram is common if at least ``COMMON`` texts hold one of its 32-bit fingerpr
 cover the corpus; tasks send sorted fingerprints as compressed differences, about 2 bytes each. The at most
 ``MAX_COMMON`` most frequent ones are broadcast. Blocks of other n-grams thus hold fewer than ``COMMON`` rows (more only in a corpus where the
 table is full) and give all their pairs. Blocks of common n-grams, which stand in a prefix only of a text that is made of them, are
-joined with one pivot for each size class first; after that only pairs of different components are left to try,
-and all of these are.
+joined with one pivot for each size class first, the row with the fewest rare n-grams. After that, only pairs of
+different components are left to try that share no rare n-gram (others gave a pair above). All r rare n-grams of
+such a row stand in its prefix, so the two share ``min(n - r)`` at most; all pairs where this reaches the overlap
+that the threshold asks for are tried.
 
 Every candidate is verified on the whole sets. Links connect rows; the result is a component per text.
 
@@ -134,7 +136,7 @@ class NgramJoin:
         return rows["f"].to_numpy(np.uint32), rows["c"].to_numpy(np.int64)
 
     def _prefixes(self, docs: DataFrame, common) -> DataFrame:
-        """(h, sig, n, c, hot): the first n-grams of each distinct set; c: common ones among its longer prefix."""
+        """(h, sig, n, c, r, hot): the first n-grams of each distinct set; c: common ones among its longer prefix, r: rare ones of all."""
         width, percent, extra = self.width, self.percent, self.extra
         shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -158,14 +160,14 @@ class NgramJoin:
                         order = np.argsort(weight, kind="stable")[: min(n, base + extra - 1)]
                         hot = weight[order] > 0
                         use = order[~hot | (np.arange(len(order)) < base)]
-                        out.append((s[use].view(np.int64), sig, n, int(hot.sum()), weight[use] > 0))
+                        out.append((s[use].view(np.int64), sig, n, int(hot.sum()), int((weight == 0).sum()), weight[use] > 0))
                     if out:
                         sizes = np.array([len(o[0]) for o in out])
                         row = pa.array(np.repeat(np.arange(len(out)), sizes))
-                        columns = [pa.array(np.concatenate([o[0] for o in out])), *(pa.array([o[i] for o in out], kind).take(row) for i, kind in ((1, pa.binary()), (2, pa.int32()), (3, pa.int32()))), pa.array(np.concatenate([o[4] for o in out]))]
-                        yield pa.RecordBatch.from_arrays(columns, ["h", "sig", "n", "c", "hot"])
+                        columns = [pa.array(np.concatenate([o[0] for o in out])), *(pa.array([o[i] for o in out], kind).take(row) for i, kind in ((1, pa.binary()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))), pa.array(np.concatenate([o[5] for o in out]))]
+                        yield pa.RecordBatch.from_arrays(columns, ["h", "sig", "n", "c", "r", "hot"])
 
-        return docs.mapInArrow(run, "h long, sig binary, n int, c int, hot boolean")
+        return docs.mapInArrow(run, "h long, sig binary, n int, c int, r int, hot boolean")
 
     def _sizes_fit(self, a, b):
         return (100 * F.least(a, b) >= self.percent * F.greatest(a, b))
@@ -182,18 +184,20 @@ class NgramJoin:
     def _pivot_pairs(self, hot: DataFrame) -> DataFrame:
         """Of a common n-gram's block, each row with the first of its size class."""
         classed = hot.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int"))
-        pivots = classed.groupBy("h", "k").agg(F.min("sig").alias("b"))
+        pivots = classed.groupBy("h", "k").agg(F.min(F.struct("r", "sig")).alias("p")).select("h", "k", F.col("p.sig").alias("b"))
         return classed.join(pivots, ["h", "k"]).where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
 
     def _cross_pairs(self, hot: DataFrame, found: DataFrame) -> DataFrame:
         """Of common n-grams' blocks, the pairs that lie in different components still."""
-        labelled = stored(hot.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("h", "sig", "n", F.coalesce("root", "sig").alias("root")))
+        within = hot.where(100 * (F.col("n") - F.col("r")) >= self.percent * F.col("n"))
+        labelled = stored(within.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("h", "sig", "n", "r", F.coalesce("root", "sig").alias("root")))
         mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
         rows = stored(labelled.join(mixed, "h"))
         if rows.isEmpty():
             return rows.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-        other = rows.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        return rows.join(other, "h").where((F.col("sig") < F.col("b")) & (F.col("root") != F.col("rb")) & self._sizes_fit(F.col("n"), F.col("nb"))).select(F.col("sig").alias("a"), "b").distinct()
+        other = rows.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rareb"), F.col("root").alias("rb"))
+        reach = (100 + self.percent) * F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rareb")) >= self.percent * (F.col("n") + F.col("nb"))
+        return rows.join(other, "h").where((F.col("sig") < F.col("b")) & (F.col("root") != F.col("rb")) & self._sizes_fit(F.col("n"), F.col("nb")) & reach).select(F.col("sig").alias("a"), "b").distinct()
 
     def _sets(self, pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
         """(sig, grams) of the rows that stand in ``pairs``."""
@@ -235,7 +239,7 @@ class NgramJoin:
 
         prefixes = self._prefixes(rows, common)
         pre = stored(prefixes)
-        hot = pre.where("hot").select("h", "sig", "n").distinct()
+        hot = pre.where("hot").select("h", "sig", "n", "r").distinct()
         pairs = stored(self._rare_pairs(pre.where("NOT hot")).union(self._pivot_pairs(hot)).distinct())
         links = stored(self._verified(pairs, self._sets(pairs, owners, rows)))
         found = components(links)

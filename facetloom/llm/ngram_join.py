@@ -40,6 +40,7 @@ from facetloom.llm.shingles import sets, signature
 
 WIDTH, PERCENT, EXTRA = 3, 90, 4
 COMMON, MAX_COMMON, FLUSH = 24, 2_000_000, 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
@@ -203,7 +204,9 @@ class NgramJoin:
         """(sig, grams) of the rows that stand in ``pairs``."""
         width = self.width
         needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        ids = needed.join(owners, "sig").select("id").distinct()
+        ids = stored(needed.join(owners, "sig").select("id").distinct())
+        if ids.count() <= BROADCAST_IDS:  # else the texts are joined by a shuffle
+            ids = F.broadcast(ids)
 
         def run(batches):
             for batch in batches:

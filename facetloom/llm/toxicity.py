@@ -63,26 +63,27 @@ class NoisyOr:
         y = np.asarray(labels, float)
         if not (y.any() and (1 - y).any()):
             return self
-        bags = [[{f for w in _WORD.findall(s) for f in features(w)} for s in _SENTENCE.findall(t.lower())] for t in texts]
-        with_word: Counter = Counter()
+        # no bag is kept: features of toxic texts are counted first, then, for the frequent ones, all texts
         toxic_with: Counter = Counter()
-        for bag, label in zip(bags, labels):
-            seen = {w for s in bag for w in s}
-            with_word.update(seen)
+        for t, label in zip(texts, labels):
             if label:
-                toxic_with.update(seen)
+                toxic_with.update({f for w in set(_WORD.findall(t.lower())) for f in features(w)})
+        toxic_with = Counter({f: n for f, n in toxic_with.items() if n >= MIN_TEXTS})
+        with_word: Counter = Counter()
+        for t in texts:
+            with_word.update({f for w in set(_WORD.findall(t.lower())) for f in features(w) if f in toxic_with})
         share = y.mean()
 
         def telling(w):  # chi-square of word and label, signed
             n, k = with_word[w], toxic_with[w]
             return (k - n * share) ** 2 / (n * share * (1 - share))
 
-        words = sorted((w for w, n in with_word.items() if n >= MIN_TEXTS), key=lambda w: (-telling(w), w))[:VOCABULARY]
+        words = sorted(with_word, key=lambda w: (-telling(w), w))[:VOCABULARY]
         index = {w: i for i, w in enumerate(words)}
         row, col, owner = [], [], []
-        for b, bag in enumerate(bags):
-            for s in bag:
-                known = sorted({index[w] for w in s if w in index})
+        for b, t in enumerate(texts):
+            for s in _SENTENCE.findall(t.lower()):
+                known = sorted({index[f] for w in _WORD.findall(s) for f in features(w) if f in index})
                 row += [len(owner)] * len(known)
                 col += known
                 owner.append(b)

@@ -31,10 +31,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import stored, table, text_of
+from facetloom.llm.common import forget, stored, table, text_of
 from facetloom.llm.components import components
 from facetloom.llm.shingles import sets, signature
 
@@ -66,6 +67,11 @@ def _summed(parts):
     return values[first], np.add.reduceat(counts, first)
 
 
+def _key(sig: bytes | None) -> int | None:
+    """Half of a signature: enough to find candidates by, in rows of fixed width."""
+    return None if sig is None else int.from_bytes(sig[:8], "little", signed=True)
+
+
 class NgramJoin:
     def __init__(self, width: int = WIDTH, percent: int = PERCENT, extra: int = EXTRA, common: int = COMMON, max_common: int = MAX_COMMON):
         self.width, self.percent, self.extra, self.common, self.max_common = width, percent, extra, common, max_common
@@ -82,10 +88,10 @@ class NgramJoin:
             shards = (values >> np.uint32(shift)).astype(np.int64) if shift < 32 else np.zeros(len(values), np.int64)
             cuts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
             blobs = [_pack(values[a:b], counts[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(values)))]
-            nulls = pa.nulls(len(cuts), key_type)
-            return pa.RecordBatch.from_arrays([nulls, pa.nulls(len(cuts), pa.int64()), pa.nulls(len(cuts), pa.binary()), pa.array(shards[cuts], pa.int32()), pa.array(blobs, pa.binary())], names)
+            nulls = [pa.nulls(len(cuts), kind) for kind in (key_type, pa.int64(), pa.binary(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(shards[cuts], pa.int32()), pa.array(blobs, pa.binary())], names)
 
-        names = ["id", "n", "sig", "shard", "blob"]
+        names = ["id", "n", "sig", "key", "shard", "blob"]
 
         def run(batches):
             held, n_held, key_type = [], 0, None
@@ -93,7 +99,8 @@ class NgramJoin:
                 key_type = batch.column(0).type
                 for at, chunk in sets(batch.column(1), width):
                     k = len(chunk)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), pa.array([len(s) for s in chunk], pa.int64()), pa.array([signature(s) for s in chunk], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                    sigs = [signature(s) for s in chunk]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), pa.array([len(s) for s in chunk], pa.int64()), pa.array(sigs, pa.binary()), pa.array([_key(x) for x in sigs], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
                     held += [(s >> np.uint64(32)).astype(np.uint32) for s in chunk]
                     n_held += sum(map(len, chunk))
                     if n_held > FLUSH:
@@ -102,7 +109,7 @@ class NgramJoin:
             if n_held:
                 yield packed(held, key_type)
 
-        return docs.mapInArrow(run, f"id {id_type}, n long, sig binary, shard int, blob binary")
+        return docs.mapInArrow(run, f"id {id_type}, n long, sig binary, key long, shard int, blob binary")
 
     def _common(self, blobs: DataFrame, shards: int):
         """Sorted fingerprints of common n-grams and their counts, at most ``max_common``."""
@@ -137,7 +144,8 @@ class NgramJoin:
         return rows["f"].to_numpy(np.uint32), rows["c"].to_numpy(np.int64)
 
     def _prefixes(self, docs: DataFrame, common) -> DataFrame:
-        """(h, sig, n, c, r, hot): the first n-grams of each distinct set; c: common ones among its longer prefix, r: rare ones of all."""
+        """(h, key, n, c, r, hot, sig): the first n-grams of each distinct set; c: common ones among its longer prefix, r: rare
+        ones of all; sig stands in the rows of common n-grams only."""
         width, percent, extra = self.width, self.percent, self.extra
         shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -161,23 +169,27 @@ class NgramJoin:
                         order = np.argsort(weight, kind="stable")[: min(n, base + extra - 1)]
                         hot = weight[order] > 0
                         use = order[~hot | (np.arange(len(order)) < base)]
-                        out.append((s[use].view(np.int64), sig, n, int(hot.sum()), int((weight == 0).sum()), weight[use] > 0))
+                        out.append((s[use].view(np.int64), _key(sig), n, int(hot.sum()), int((weight == 0).sum()), sig, weight[use] > 0))
                     if out:
                         sizes = np.array([len(o[0]) for o in out])
                         row = pa.array(np.repeat(np.arange(len(out)), sizes))
-                        columns = [pa.array(np.concatenate([o[0] for o in out])), *(pa.array([o[i] for o in out], kind).take(row) for i, kind in ((1, pa.binary()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))), pa.array(np.concatenate([o[5] for o in out]))]
-                        yield pa.RecordBatch.from_arrays(columns, ["h", "sig", "n", "c", "r", "hot"])
+                        columns = [pa.array(np.concatenate([o[0] for o in out])), *(pa.array([o[i] for o in out], kind).take(row) for i, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))), pa.array(np.concatenate([o[6] for o in out]))]
+                        sigs = pa.array([o[5] for o in out], pa.binary()).take(pc.if_else(columns[-1], row, pa.scalar(None, row.type)))
+                        yield pa.RecordBatch.from_arrays([*columns, sigs], ["h", "key", "n", "c", "r", "hot", "sig"])
 
-        return docs.mapInArrow(run, "h long, sig binary, n int, c int, r int, hot boolean")
+        return docs.mapInArrow(run, "h long, key long, n int, c int, r int, hot boolean, sig binary")
 
     def _sizes_fit(self, a, b):
         return (100 * F.least(a, b) >= self.percent * F.greatest(a, b))
 
     def _rare_pairs(self, rare: DataFrame) -> DataFrame:
         """All pairs of the blocks of n-grams that aren't common, by accumulated overlap."""
-        blocks = rare.groupBy("h").agg(F.collect_set(F.struct("sig", "n", "c")).alias("rows")).where(F.size("rows") > 1)
-        pairs = F.flatten(F.transform("rows", lambda x, i: F.transform(F.filter("rows", lambda y: (x["sig"] < y["sig"]) & self._sizes_fit(x["n"], y["n"])), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-        each = blocks.select(F.explode(pairs).alias("p")).select(F.col("p.x.sig").alias("a"), F.col("p.y.sig").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"), F.least("p.x.c", "p.y.c").alias("c"))
+        # most n-grams stand in one text: rows of two and a half longs are shuffled as they are, not as sets of one
+        dealt = rare.select("h", "key", F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("c").cast("long")).alias("nc")).repartition("h")
+        blocks = dealt.groupBy("h").agg(F.collect_set(F.struct("key", "nc")).alias("rows")).where(F.size("rows") > 1)
+        blocks = blocks.select(F.transform("rows", lambda x: F.struct(x["key"].alias("key"), F.shiftright(x["nc"], 31).alias("n"), x["nc"].bitwiseAND(F.lit((1 << 31) - 1)).alias("c"))).alias("rows"))
+        pairs = F.flatten(F.transform("rows", lambda x, i: F.transform(F.filter("rows", lambda y: (x["key"] < y["key"]) & self._sizes_fit(x["n"], y["n"])), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+        each = blocks.select(F.explode(pairs).alias("p")).select(F.col("p.x.key").alias("a"), F.col("p.y.key").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"), F.least("p.x.c", "p.y.c").alias("c"))
         overlap = each.groupBy("a", "b", "na", "nb", "c").agg(F.count(F.lit(1)).alias("shared"))
         least = F.ceil(self.percent * (F.col("na") + F.col("nb")) / (100 + self.percent))
         return overlap.where(F.col("shared") >= F.greatest(F.lit(1), F.least(F.lit(self.extra), least) - F.col("c"))).select("a", "b")
@@ -185,37 +197,40 @@ class NgramJoin:
     def _pivot_pairs(self, hot: DataFrame) -> DataFrame:
         """Of a common n-gram's block, each row with the first of its size class."""
         classed = hot.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int"))
-        pivots = classed.groupBy("h", "k").agg(F.min(F.struct("r", "sig")).alias("p")).select("h", "k", F.col("p.sig").alias("b"))
-        return classed.join(pivots, ["h", "k"]).where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
+        pivots = classed.groupBy("h", "k").agg(F.min(F.struct("r", "key")).alias("p")).select("h", "k", F.col("p.key").alias("b"))
+        return classed.join(pivots, ["h", "k"]).where("key <> b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
     def _cross_pairs(self, hot: DataFrame, found: DataFrame) -> DataFrame:
         """Of common n-grams' blocks, the pairs that lie in different components still."""
         within = hot.where(100 * (F.col("n") - F.col("r")) >= self.percent * F.col("n"))
-        labelled = stored(within.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("h", "sig", "n", "r", F.coalesce("root", "sig").alias("root")))
+        labelled = stored(within.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("h", "key", "n", "r", F.coalesce("root", "sig").alias("root")))
         mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
         rows = stored(labelled.join(mixed, "h"))
         if rows.isEmpty():
-            return rows.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-        other = rows.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rareb"), F.col("root").alias("rb"))
+            return rows.select(F.col("key").alias("a"), F.col("key").alias("b"))
+        other = rows.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rareb"), F.col("root").alias("rb"))
         reach = (100 + self.percent) * F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rareb")) >= self.percent * (F.col("n") + F.col("nb"))
-        return rows.join(other, "h").where((F.col("sig") < F.col("b")) & (F.col("root") != F.col("rb")) & self._sizes_fit(F.col("n"), F.col("nb")) & reach).select(F.col("sig").alias("a"), "b").distinct()
+        return rows.join(other, "h").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("rb")) & self._sizes_fit(F.col("n"), F.col("nb")) & reach).select(F.col("key").alias("a"), "b").distinct()
 
     def _sets(self, pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
-        """(sig, grams) of the rows that stand in ``pairs``."""
+        """(key, sig, grams) of the rows that stand in ``pairs``, dealt by key."""
         width = self.width
-        needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        ids = stored(needed.join(owners, "sig").select("id").distinct())
+        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        ids = stored(needed.join(owners, "key").select(F.col("id").alias("owner")).distinct())
         if ids.count() <= BROADCAST_IDS:  # else the texts are joined by a shuffle
             ids = F.broadcast(ids)
 
         def run(batches):
             for batch in batches:
                 for _, chunk in sets(batch.column(0), width):
-                    yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in chunk], pa.binary()), pa.array([s.tobytes() for s in chunk], pa.binary())], ["sig", "grams"])
+                    sigs = [signature(s) for s in chunk]
+                    yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sigs], pa.int64()), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in chunk], pa.binary())], ["key", "sig", "grams"])
 
-        return stored(docs.join(ids, "id").select("t").mapInArrow(run, "sig binary, grams binary").where(F.col("sig").isNotNull()).dropDuplicates(["sig"]))
+        made = docs.join(ids, F.col("id").eqNullSafe(F.col("owner"))).select("t").mapInArrow(run, "key long, sig binary, grams binary")
+        return made.where(F.col("key").isNotNull()).repartition("key").dropDuplicates(["key", "sig"])
 
     def _verified(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
+        """The links among ``pairs`` of keys, as pairs of signatures. ``grams`` is shuffled once: both joins read the same exchange."""
         percent = self.percent
 
         def run(batches):
@@ -225,25 +240,29 @@ class NgramJoin:
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     both = len(x) + len(y) - len(np.union1d(x, y))
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                links = batch.select(["sa", "sb"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(links.columns, ["a", "b"])
 
-        one = grams.select(F.col("sig").alias("b"), F.col("grams").alias("y"))
-        two = grams.select(F.col("sig").alias("a"), F.col("grams").alias("x"))
-        return pairs.join(one, "b").join(two, "a").mapInArrow(run, "a binary, b binary")
+        one = grams.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("grams").alias("y"))
+        two = grams.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("grams").alias("x"))
+        return pairs.join(one, "b").join(two, "a").select("sa", "sb", "x", "y").mapInArrow(run, "a binary, b binary")
 
     def classes(self, docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-        """``id_column``, n_shingles, component_id, and n_links (to texts with other sets) of every row."""
+        """``id_column``, n_shingles, component_id, and n_links of every row: links to texts with other sets that were
+        verified on the way, at least; blocks of common n-grams prove components by fewer links than there are."""
         rows = self._rows(docs, id_column, text)
         log2 = min(20, max(4, (max(1, docs.count()) // 20_000).bit_length()))
         made = stored(self._signed(rows, log2, docs.schema[id_column].dataType.simpleString()))
-        signed = made.where(F.col("shard").isNull()).select("id", "n", "sig")
+        signed = stored(made.where(F.col("shard").isNull()).select("id", "n", "sig", "key"))
         common = self._common(made.where(F.col("shard").isNotNull()).select("shard", "blob"), 1 << log2)
-        owners = stored(signed.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+        forget(made)
+        owners = stored(signed.where(F.col("sig").isNotNull()).groupBy("sig", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
 
         prefixes = self._prefixes(rows, common)
         pre = stored(prefixes)
-        hot = pre.where("hot").select("h", "sig", "n", "r").distinct()
+        hot = stored(pre.where("hot").select("h", "sig", "key", "n", "r").distinct())
         pairs = stored(self._rare_pairs(pre.where("NOT hot")).union(self._pivot_pairs(hot)).distinct())
+        forget(pre)
         links = stored(self._verified(pairs, self._sets(pairs, owners, rows)))
         found = components(links)
         more = stored(self._cross_pairs(hot, found))

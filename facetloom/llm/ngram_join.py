@@ -56,15 +56,18 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     planes = np.frombuffer(pa.decompress(blob[16:], int.from_bytes(blob[8:16], "little"), "zstd", asbytes=True), np.uint8)
     steps = np.ascontiguousarray(planes[: 4 * n].reshape(4, n).T).view("<u4").ravel()
     counts = np.ascontiguousarray(planes[4 * n :].reshape(2, n).T).view("<u2").ravel()
-    return np.cumsum(steps, dtype=np.uint32), counts.astype(np.int64)
+    return np.cumsum(steps, dtype=np.uint32), counts.astype(np.uint32)
 
 
 def _summed(parts):
-    values, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order]
+    """One sorted run of (values, counts); a count stops at 2**32 - 1. A pair is sorted as one 64-bit number, without an index."""
+    both = np.concatenate([(v.astype(np.uint64) << np.uint64(32)) | c for v, c in parts])
+    both.sort()
+    values, counts = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+    del both
     first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-    return values[first], np.add.reduceat(counts, first)
+    total = np.add.reduceat(counts, first, dtype=np.uint64)
+    return values[first], np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _key(sig: bytes | None) -> int | None:
@@ -123,13 +126,14 @@ class NgramJoin:
                     part = _unpack(blob)
                     held.setdefault(shard, []).append(part)
                     size += len(part[0])
-                if size > 2 * FLUSH:
-                    held = {k: [_summed(v)] for k, v in held.items()}
-                    size = 0
+                    if size > FLUSH:
+                        for k in held:
+                            held[k] = [_summed(held[k])]
+                        size = 0
             for parts in held.values():
                 values, counts = _summed(parts)
                 at = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(values[at].astype(np.int64)), pa.array(counts[at])], ["f", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(values[at].astype(np.int64)), pa.array(counts[at].astype(np.int64))], ["f", "c"])
 
         counted = stored(blobs.repartition(shards, "shard").mapInArrow(run, "f long, c long"))
         by_size = sorted(counted.groupBy(F.floor(F.log2("c")).alias("k")).count().collect(), key=lambda r: -r[0])
@@ -251,7 +255,7 @@ class NgramJoin:
         """``id_column``, n_shingles, component_id, and n_links of every row: links to texts with other sets that were
         verified on the way, at least; blocks of common n-grams prove components by fewer links than there are."""
         rows = self._rows(docs, id_column, text)
-        log2 = min(20, max(4, (max(1, docs.count()) // 20_000).bit_length()))
+        log2 = min(20, max(4, (max(1, docs.count()) // 10_000).bit_length()))
         made = stored(self._signed(rows, log2, docs.schema[id_column].dataType.simpleString()))
         signed = stored(made.where(F.col("shard").isNull()).select("id", "n", "sig", "key"))
         common = self._common(made.where(F.col("shard").isNotNull()).select("shard", "blob"), 1 << log2)

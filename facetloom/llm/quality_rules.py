@@ -100,9 +100,10 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def rules(text: Column, **known: Column) -> dict[str, Column]:
-    """Rule name -> condition that rejects; all judge the whole text. ``known``: counts that stand in columns already."""
-    c = {"n_words": n_words(words(text)), "word_chars": word_chars(words(text)), "n_symbols": n_symbols(marks(text)), "n_dup_lines": n_dup_lines(text), "n_repeat_words": n_repeat_words(words(text))} | known
+def rules(text: Column, ws: Column | None = None, **known: Column) -> dict[str, Column]:
+    """Rule name -> condition that rejects; all judge the whole text. ``ws``: its words; ``known``: counts that stand in columns already."""
+    ws = words(text) if ws is None else ws
+    c = {"n_words": n_words(ws), "word_chars": word_chars(ws), "n_symbols": n_symbols(marks(text)), "n_dup_lines": n_dup_lines(text), "n_repeat_words": n_repeat_words(ws)} | known
     exclamations = known.get("n_exclamations", F.length(F.regexp_replace(text, "[^!]+", "")))
     return {
         "too_few_words": c["n_words"] < 10,
@@ -116,16 +117,18 @@ def rules(text: Column, **known: Column) -> dict[str, Column]:
 
 
 class RuleCascade:
-    """Rules in the order of rejection per cost."""
+    """Rules in the order of rejection per cost. Without ``given``, those of this module, over one split of each text."""
 
     def __init__(self, given: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS):
-        self.rules, self.sample_rows = dict(given or rules(text_of("text"))), sample_rows
+        self.own, self.sample_rows = not given, sample_rows
+        self.rules = dict(given or rules(text_of("text"), F.col("__words")))
         self.order, self.measured = list(self.rules), {}
 
     def fit(self, docs: DataFrame, prepare=lambda sample: sample) -> "RuleCascade":
         """``prepare`` adds the columns that the rules read to the sampled rows."""
         share = min(1.0, self.sample_rows / max(docs.count(), 1))
-        sample = prepare(docs.sample(fraction=share, seed=11).coalesce(1)).persist()
+        sample = prepare(docs.sample(fraction=share, seed=11).coalesce(1))
+        sample = (sample.withColumn("__words", words(text_of("text"))) if self.own else sample).persist()
         try:
             n = sample.count()
             for name, rule in self.rules.items():
@@ -139,12 +142,17 @@ class RuleCascade:
             self.order = sorted(self.rules, key=lambda k: -worth[k])
         return self
 
-    def rejects(self) -> Column:
+    def _cascade(self, by_name: dict[str, Column]) -> Column:
         cascade = F.lit(False)
         for name in reversed(self.order):
-            cascade = F.when(F.coalesce(self.rules[name], F.lit(False)), True).otherwise(cascade)
+            cascade = F.when(F.coalesce(by_name[name], F.lit(False)), True).otherwise(cascade)
         return cascade
 
+    def rejects(self) -> Column:
+        if self.own:
+            return let(words(text_of("text")), lambda ws: self._cascade(rules(text_of("text"), ws)))
+        return self._cascade(self.rules)
+
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows that no rule rejects, with the columns of ``docs``."""
         return docs.where(~self.rejects())

@@ -16,6 +16,8 @@ from facetloom.llm.packing import Packer
 from facetloom.llm.pii import Sanitiser
 from facetloom.llm.quality_rules import RuleCascade
 
+#: Near copies share at least NEAR_PERCENT of the NEAR_WIDTH-word shingles of both; the thin op3 query has bounds of its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 #: Tokens to draw, as a share of what is left; with two epochs at most, the targets hold as far as sources last.
 MIX_SHARE, MIX_EPOCHS = 1.0, 2
 
@@ -27,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each linked group stays, that with the smallest id; of its repeated rows, one."""
-    classes = NgramJoin().classes(docs)
+    classes = NgramJoin(width=NEAR_WIDTH, percent=NEAR_PERCENT).classes(docs)
     gone = classes.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     again = classes.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")

@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each linked group stays, that with the smallest id; of its repeated rows, one."""
-    classes = NgramJoin(width=NEAR_WIDTH, percent=NEAR_PERCENT).classes(docs)
+    classes = NgramJoin(width=NEAR_WIDTH, percent=NEAR_PERCENT).classes(docs, count=False)
     gone = classes.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     again = classes.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")

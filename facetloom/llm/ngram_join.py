@@ -20,6 +20,11 @@ that the threshold asks for are tried.
 
 Every candidate is verified on the whole sets. Links connect rows; the result is a component per text.
 
+Links are counted exactly. Only a pair whose rows both hold a common n-gram in their prefix may have gone untried, and
+if it is a link, both lie in one component. So after the components stand, all pairs of such rows of a component are
+counted on whole sets: rows are dealt to blocks by component and size class, and each two blocks that can hold a link
+are one product of incidence matrices, of which only sums per row are kept. Other links are those that were verified.
+
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with fewer words
 than n, the whole sequence is the one n-gram; repeated rows are linked; an empty table gives an empty result;
 other columns are ignored. A null id is a component of its own row's text like any other, with the least non-null id.
@@ -35,12 +40,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import forget, stored, table, text_of
+from facetloom.llm.common import forget, numbered, stored, table, text_of
 from facetloom.llm.components import components
 from facetloom.llm.shingles import sets, signature
 
 WIDTH, PERCENT, EXTRA = 3, 90, 4
 COMMON, MAX_COMMON, FLUSH = 24, 2_000_000, 2_000_000
+BLOCK_ROWS, BLOCK_GRAMS, SLICE = 512, 1_000_000, 4096
 BROADCAST_IDS = 1_000_000
 
 
@@ -75,6 +81,21 @@ def _key(sig: bytes | None) -> int | None:
     return None if sig is None else int.from_bytes(sig[:8], "little", signed=True)
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of n-grams that each set of ``x`` shares with each of ``y``: a product of incidences, by slices of columns."""
+    grams, at = np.unique(np.concatenate(x + y), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for first in range(0, len(grams), SLICE):
+        a, b = np.searchsorted(at, (first, first + SLICE))
+        held = np.zeros((len(x) + len(y), min(SLICE, len(grams) - first)), np.float32)
+        held[row[a:b], at[a:b] - first] = 1
+        out += (held[: len(x)] @ held[len(x) :].T).astype(np.int64)
+    return out
+
+
 class NgramJoin:
     def __init__(self, width: int = WIDTH, percent: int = PERCENT, extra: int = EXTRA, common: int = COMMON, max_common: int = MAX_COMMON):
         self.width, self.percent, self.extra, self.common, self.max_common = width, percent, extra, common, max_common
@@ -218,8 +239,10 @@ class NgramJoin:
 
     def _sets(self, pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
         """(key, sig, grams) of the rows that stand in ``pairs``, dealt by key."""
+        return self._sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), owners, docs)
+
+    def _sets_of(self, needed: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
         width = self.width
-        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         ids = stored(needed.join(owners, "key").select(F.col("id").alias("owner")).distinct())
         if ids.count() <= BROADCAST_IDS:  # else the texts are joined by a shuffle
             ids = F.broadcast(ids)
@@ -251,9 +274,52 @@ class NgramJoin:
         two = grams.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("grams").alias("x"))
         return pairs.join(one, "b").join(two, "a").select("sa", "sb", "x", "y").mapInArrow(run, "a binary, b binary")
 
-    def classes(self, docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-        """``id_column``, n_shingles, component_id, and n_links of every row: links to texts with other sets that were
-        verified on the way, at least; blocks of common n-grams prove components by fewer links than there are."""
+    def _hot_degrees(self, hot: DataFrame, found: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+        """(sig, links): for rows of common n-grams, all links among them, counted block by block within components."""
+        percent = self.percent
+        members = hot.select("sig", "key", "n").distinct().join(found.select(F.col("node").alias("sig"), "root"), "sig")
+        alone = members.groupBy("root").count().where("count > 1").select("root")
+        # classes are a little wider than the threshold, so two rows whose sizes fit lie at most one class apart
+        width = 1.001 * math.log(100 / percent) if percent < 100 else 1e-9
+        classed = stored(members.join(alone, "root").withColumn("k", F.floor(F.log(F.col("n").cast("double")) / width)).withColumn("cell", F.struct("root", "k")))
+        if classed.isEmpty():
+            return classed.select("sig", F.lit(0).cast("long").alias("links"))
+        rows_of = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_GRAMS / F.exp((F.col("k") + 1) * width)))).cast("long")
+        dealt = stored(numbered(classed, "cell", ["sig"], "number").select("sig", "key", "root", "k", F.floor(F.col("number") / rows_of).alias("i")))
+        grams = self._sets_of(dealt.select("key").distinct(), owners, docs).select("sig", "grams")
+
+        def block(table: pa.Table) -> pa.Table:
+            sets_, sigs = table.column("grams").to_pylist(), table.column("sig").to_pylist()
+            raw = b"".join(sets_)
+            one = [table.column(c)[0].as_py() for c in ("root", "k", "i")]
+            return pa.table({"root": pa.array(one[:1], pa.binary()), "k": pa.array(one[1:2], pa.int64()), "i": pa.array(one[2:], pa.int64()), "sigs": pa.array([sigs], pa.list_(pa.binary())), "sizes": pa.array([[len(s) // 8 for s in sets_]], pa.list_(pa.int64())), "packed": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())})
+
+        blocks = stored(dealt.join(grams, "sig").groupBy("root", "k", "i").applyInArrow(block, "root binary, k long, i long, sigs array<binary>, sizes array<long>, packed binary"))
+        one = blocks.select("root", F.col("k").alias("ka"), F.col("i").alias("ia"))
+        two = blocks.select("root", F.col("k").alias("kb"), F.col("i").alias("ib"))
+        pairs = stored(one.join(two, "root").where("kb = ka AND ib >= ia OR kb = ka + 1"))
+        dealt_pairs = pairs.repartition(max(1, min(5_000, pairs.count() // 4)), "root", "ka", "ia", "kb", "ib")
+        parts = lambda x: [F.col(c).alias(c + x) for c in ("k", "i", "sigs", "sizes", "packed")]
+        joined = dealt_pairs.join(blocks.select("root", *parts("a")), ["root", "ka", "ia"]).join(blocks.select("root", *parts("b")), ["root", "kb", "ib"])
+        columns = [c + x for x in "ab" for c in ("sigs", "sizes", "packed")]
+
+        def run(batches):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    sa, na, pa_, sb, nb, pb = (batch.column(c)[r].as_py() for c in columns)
+                    unpacked = [np.split(np.frombuffer(pa.decompress(p, 8 * sum(n), "zstd", asbytes=True), np.uint64), np.cumsum(n)[:-1]) for p, n in ((pa_, na), (pb, nb))]
+                    same = sa == sb
+                    both = _overlaps(*unpacked)
+                    linked = 100 * both >= percent * (np.array(na)[:, None] + np.array(nb)[None, :] - both)
+                    if same:
+                        np.fill_diagonal(linked, False)
+                    of, counts = (sa, linked.sum(1)) if same else (sa + sb, np.concatenate([linked.sum(1), linked.sum(0)]))
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.binary()), pa.array(counts, pa.int64())], ["sig", "links"])
+
+        return joined.select(*columns).mapInArrow(run, "sig binary, links long")
+
+    def classes(self, docs: DataFrame, text: str = "text", id_column: str = "doc_id", count: bool = True) -> DataFrame:
+        """``id_column``, n_shingles, component_id, and with ``count`` n_links of every row: the links to texts with other sets."""
         rows = self._rows(docs, id_column, text)
         log2 = min(20, max(4, (max(1, docs.count()) // 10_000).bit_length()))
         made = stored(self._signed(rows, log2, docs.schema[id_column].dataType.simpleString()))
@@ -274,7 +340,14 @@ class NgramJoin:
             links = stored(links.union(self._verified(more, self._sets(more, owners, rows))))
             found = components(links)
 
-        degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
+        if count:
+            of_hot = hot.select("sig").distinct().withColumn("hot", F.lit(True))
+            marked = links.join(of_hot.toDF("a", "hot_a"), "a", "left").join(of_hot.toDF("b", "hot_b"), "b", "left")
+            other = stored(marked.where("hot_a IS NULL OR hot_b IS NULL").select("a", "b", F.lit(1).cast("long").alias("links")))
+            each = other.select(F.col("a").alias("sig"), "links").union(other.select("b", "links")).union(self._hot_degrees(hot, found, owners, rows))
+            degree = each.groupBy("sig").agg(F.sum("links").alias("links"))
+        else:
+            degree = owners.where("false").select("sig", F.lit(0).cast("long").alias("links"))
         rooted = owners.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         least = rooted.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("texts"))
         # texts that are alone need no lookup
@@ -283,7 +356,7 @@ class NgramJoin:
             F.col("id").alias(id_column),
             F.col("n").alias("n_shingles"),
             F.coalesce("component", "id").alias("component_id"),
-            F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+            *([F.coalesce("links", F.lit(0)).cast("long").alias("n_links")] if count else []),
         )
 
 

@@ -93,14 +93,14 @@ def _words(path: str) -> _Words:
     return _WORKER[path]
 
 
-def subset_sum(sizes: list[int], counts: dict[int, int], room: int, most: int = 12) -> list[int]:
-    """The multiset of ``sizes`` (each at most counts[size] times, ``most`` items) that fills ``room`` best."""
+def subset_sum(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """The multiset of ``sizes`` (each at most counts[size] times) that fills ``room`` best."""
     reached: list[tuple[int, int]] = []  # (size, sums reached before it)
     sums, mask = 1, (1 << (room + 1)) - 1
     for s in sizes:
         if s > room:
             continue
-        for _ in range(min(counts[s], room // s, most)):
+        for _ in range(min(counts[s], room // s)):
             reached.append((s, sums))
             more = sums | (sums << s) & mask
             if more == sums:

@@ -6,8 +6,8 @@ estimates how strongly a term reveals one: P(entity | term), the share of the te
 wherever they stand beside an entity; ``sanitised`` generalises entities and such terms to their kind, and
 removes terms that reveal an entity almost surely.
 
-Both counts are exact and cover every text. Only terms with a support of at least
-``max(MIN_SUPPORT, contexts / MAX_TERMS)`` are candidates, so there are at most ``MAX_TERMS`` to broadcast.
+Both counts are exact and cover every text; a term with ``MIN_SUPPORT`` words beside entities is a candidate, whatever
+the size of the corpus. Where more than ``MAX_TERMS`` terms disclose, they are not broadcast but joined to the texts' words.
 
 Defined results: a null text counts as empty and has no spans (``sanitised`` keeps it null); repeated rows each
 get a row; an empty table gives an empty result; other columns are ignored or pass through ``sanitised``.
@@ -15,7 +15,6 @@ get a row; an empty table gives an empty result; other columns are ignored or pa
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -23,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import table, text_of
+from facetloom.llm.common import stored, table, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW, MIN_SUPPORT, MAX_TERMS = 3, 20, 50_000
+WINDOW, MIN_SUPPORT, MAX_TERMS, SALTS = 3, 20, 50_000, 16
 LIKELY, SURE, GAIN_BITS = 0.5, 0.9, 3.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -131,9 +130,10 @@ class Sanitiser:
         self.window, self.min_support, self.max_terms = window, min_support, max_terms
         self.likely, self.sure, self.gain_bits = likely, sure, gain_bits
         self.terms: dict[str, float] = {}
+        self.table: DataFrame | None = None  # (term, p) instead of ``terms``, where those are more than max_terms
 
     def fit(self, docs: DataFrame, text: str = "text") -> "Sanitiser":
-        """Count terms beside entities, then the candidates among them everywhere; keep the disclosing ones."""
+        """Count terms beside entities and everywhere; keep the disclosing ones."""
         window = self.window
 
         def beside(t, seen):
@@ -142,38 +142,47 @@ class Sanitiser:
                 seen.update(w for w, _, _ in context(t, spans, window))
 
         near = _count(docs, text, beside).persist()
+        overall = None
         try:
             contexts = near.agg(F.sum("n")).first()[0] or 0
-            support = max(self.min_support, -(-contexts // self.max_terms))
-            counts = {r[0]: r[1] for r in near.where(F.col("n") >= support).collect()}
+            candidates = near.where(F.col("n") >= self.min_support).select("term", F.col("n").alias("near"))
+            some = [r[0] for r in candidates.select("term").limit(self.max_terms + 1).collect()]
+            if not some:
+                return self
+            # a set of candidates that is small spares the others' counts the shuffle; else all terms are counted
+            shared = docs.sparkSession.sparkContext.broadcast(frozenset(some) if len(some) <= self.max_terms else None)
+
+            def everywhere(t, seen):
+                words = list(map(str.lower, _WORD.findall(t)))
+                seen["\n"] += len(words)  # the number of all words
+                seen.update(words if shared.value is None else filter(shared.value.__contains__, words))
+
+            overall = _count(docs, text, everywhere).persist()
+            base = contexts / overall.where(F.col("term") == "\n").first()[1]
+            p = F.col("near") / F.greatest("n", "near")
+            disclosing = candidates.join(overall, "term").select("term", p.alias("p")).where((F.col("p") >= self.likely) & (F.col("p") >= base * 2.0**self.gain_bits))
+            found = disclosing.limit(self.max_terms + 1).collect()
+            if len(found) <= self.max_terms:
+                self.terms = {r[0]: r[1] for r in found}
+            else:
+                self.table = stored(disclosing)
         finally:
             near.unpersist()
-        if not counts:
-            return self
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(counts))
-
-        def everywhere(t, seen):
-            words = _WORD.findall(t.lower())
-            seen["\n"] += len(words)  # the number of all words
-            seen.update(filter(shared.value.__contains__, words))
-
-        overall = {r[0]: r[1] for r in _count(docs, text, everywhere).collect()}
-        base = contexts / overall["\n"]
-        for term, n in counts.items():
-            p = min(1.0, n / max(overall.get(term, 0), n))
-            if p >= self.likely and math.log2(p / base) >= self.gain_bits:
-                self.terms[term] = p
+            if overall is not None:
+                overall.unpersist()
         return self
 
-    def spans(self, text: str) -> list[tuple[str, int, int]]:
+    def spans(self, text: str, terms: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
+        terms = self.terms if terms is None else terms
         found = entities(text)
-        if found and self.terms:
-            found += [("term", a, b) for w, a, b in context(text, found, self.window) if w in self.terms]
+        if found and terms:
+            found += [("term", a, b) for w, a, b in context(text, found, self.window) if w in terms]
         return found
 
-    def clean(self, text: str) -> str:
+    def clean(self, text: str, terms: dict[str, float] | None = None) -> str:
         """Entities become [KIND]; disclosing terms [TERM], or nothing when they reveal an entity almost surely."""
-        spans, out, at = self.spans(text), [], 0
+        terms = self.terms if terms is None else terms
+        spans, out, at = self.spans(text, terms), [], 0
         if not spans:
             return text
         for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
@@ -181,22 +190,43 @@ class Sanitiser:
                 continue
             out.append(text[at : max(a, at)])
             if a >= at:
-                out.append("" if kind == "term" and self.terms[text[a:b].lower()] >= self.sure else f"[{kind.upper()}]")
+                out.append("" if kind == "term" and terms[text[a:b].lower()] >= self.sure else f"[{kind.upper()}]")
             at = b
         return "".join(out) + text[at:]
 
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    def _looked_up(self, docs: DataFrame, text: str) -> DataFrame:
+        """``docs`` with ``__terms``, the disclosing terms among a text's words; null where ``terms`` holds them all."""
+        kind = "array<struct<term:string,p:double>>"
+        if self.table is None:
+            return docs.withColumn("__terms", F.lit(None).cast(kind))
+        rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+        def run(batches):
+            for batch in batches:
+                for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words = sorted(set(map(str.lower, _WORD.findall(t))))
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(words, pa.string())], ["__row", "term"])
+
+        words = rows.select("__row", text_of(text)).mapInArrow(run, "__row long, term string").withColumn("salt", F.pmod("__row", F.lit(SALTS)))
+        salted = self.table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+        held = words.join(salted, ["term", "salt"]).groupBy("__row").agg(F.collect_list(F.struct("term", "p")).cast(kind).alias("__terms"))
+        return rows.join(held, "__row", "left").select(*docs.columns, F.coalesce("__terms", F.array().cast(kind)).alias("__terms"))
+
     def find(self, docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
         """``id_column`` and spans: array of (kind, start, end) in code points."""
         shared = docs.sparkSession.sparkContext.broadcast(self)
 
         def run(batches):
             for batch in batches:
-                rows = [[{"kind": k, "start": a, "end": b} for k, a, b in shared.value.spans(t)] if t else [] for t in batch.column(1).to_pylist()]
+                rows = [[{"kind": k, "start": a, "end": b} for k, a, b in shared.value.spans(t, _terms(held))] if t else [] for t, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["id", "spans"])
 
         kind = docs.schema[id_column].dataType.simpleString()
-        plain = docs.select(F.col(id_column).alias("id"), text_of(text).alias("t"))
+        plain = self._looked_up(docs.select(F.col(id_column).alias("id"), text_of(text).alias("t")), "t")
         return plain.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_column)
 
     def sanitised(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -205,10 +235,15 @@ class Sanitiser:
 
         def run(batches):
             for batch in batches:
-                cleaned = [t and shared.value.clean(t) for t in batch.column(place).to_pylist()]
-                yield batch.set_column(place, batch.schema.field(place), pa.array(cleaned, batch.schema.field(place).type))
+                cleaned = [t and shared.value.clean(t, _terms(held)) for t, held in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+                kept = batch.select(range(batch.num_columns - 1))
+                yield kept.set_column(place, kept.schema.field(place), pa.array(cleaned, kept.schema.field(place).type))
+
+        return self._looked_up(docs, text).mapInArrow(run, docs.schema)
+
 
-        return docs.mapInArrow(run, docs.schema)
+def _terms(held) -> dict[str, float] | None:
+    return None if held is None else {r["term"]: r["p"] for r in held}
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

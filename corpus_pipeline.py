@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their personal data; n_chars follows."""
-    clean = Sanitiser().fit(docs).sanitised(docs)
+    clean = Sanitiser(everywhere=True).fit(docs).sanitised(docs)
     length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.withColumn("n_chars", length)
 

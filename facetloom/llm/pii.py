@@ -3,7 +3,7 @@
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers. Corpus co-occurrence
 estimates how strongly a term reveals one: P(entity | term), the share of the term's occurrences that stand within
 ``WINDOW`` words of an entity, and the information gain log2(P(entity | term) / P(entity)). Terms over both thresholds are spans of kind ``term``
-wherever they stand beside an entity; ``sanitised`` generalises entities and such terms to their kind, and
+wherever they stand, with ``everywhere``, else beside an entity; ``sanitised`` generalises entities and such terms to their kind, and
 removes terms that reveal an entity almost surely.
 
 Both counts are exact and cover every text; a term with ``MIN_SUPPORT`` words beside entities is a candidate, whatever
@@ -16,6 +16,7 @@ get a row; an empty table gives an empty result; other columns are ignored or pa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -94,17 +95,33 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _outside(words, spans) -> list:
+    """Those of ``words`` (matches) that overlap no span."""
+    ends: list[int] = []
+    starts: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [m for m in words if not (k := bisect_left(starts, m.end())) or ends[k - 1] <= m.start()]
+
+
 def context(text: str, spans, window: int = WINDOW) -> list[tuple[str, int, int]]:
     """The words within ``window`` words of an entity on its line, outside all entities, each once."""
+    lines: dict[int, tuple] = {}
     out = {}
     for _, a, b in spans:
-        left, right = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        left, right = max(left, a - 200), min(len(text) if right < 0 else right, b + 200)
-        for words in (list(_WORD.finditer(text, left, a))[-window:], list(_WORD.finditer(text, b, right))[:window]):
-            for m in words:
-                if not any(m.start() < e and s < m.end() for _, s, e in spans):
-                    out[m.start()] = (m.group().lower(), m.start(), m.end())
-    return [out[k] for k in sorted(out)]
+        left = text.rfind("\n", 0, a) + 1
+        if left not in lines:  # each line is cut into words once
+            right = text.find("\n", b)
+            words = list(_WORD.finditer(text, left, len(text) if right < 0 else right))
+            lines[left] = words, [m.start() for m in words], [m.end() for m in words]
+        words, starts, ends = lines[left]
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        out.update((m.start(), m) for m in words[max(0, before - window) : before] + words[after : after + window])
+    return [(m.group().lower(), m.start(), m.end()) for m in _outside([out[k] for k in sorted(out)], spans)]
 
 
 def _count(docs: DataFrame, text: str, of) -> DataFrame:
@@ -126,9 +143,9 @@ def _count(docs: DataFrame, text: str, of) -> DataFrame:
 
 
 class Sanitiser:
-    def __init__(self, window: int = WINDOW, min_support: int = MIN_SUPPORT, max_terms: int = MAX_TERMS, likely: float = LIKELY, sure: float = SURE, gain_bits: float = GAIN_BITS):
+    def __init__(self, window: int = WINDOW, min_support: int = MIN_SUPPORT, max_terms: int = MAX_TERMS, likely: float = LIKELY, sure: float = SURE, gain_bits: float = GAIN_BITS, everywhere: bool = False):
         self.window, self.min_support, self.max_terms = window, min_support, max_terms
-        self.likely, self.sure, self.gain_bits = likely, sure, gain_bits
+        self.likely, self.sure, self.gain_bits, self.everywhere = likely, sure, gain_bits, everywhere
         self.terms: dict[str, float] = {}
         self.table: DataFrame | None = None  # (term, p) instead of ``terms``, where those are more than max_terms
 
@@ -175,7 +192,10 @@ class Sanitiser:
     def spans(self, text: str, terms: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
         terms = self.terms if terms is None else terms
         found = entities(text)
-        if found and terms:
+        if terms and self.everywhere:
+            named = [m for m in _WORD.finditer(text) if m.group().lower() in terms]
+            found += [("term", m.start(), m.end()) for m in _outside(named, found)]
+        elif found and terms:
             found += [("term", a, b) for w, a, b in context(text, found, self.window) if w in terms]
         return found
 
@@ -248,7 +268,7 @@ def _terms(held) -> dict[str, float] | None:
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = Sanitiser().fit(docs).find(docs)
+    found = Sanitiser(everywhere=True).fit(docs).find(docs)
     listed = lambda kinds: F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(
         "doc_id",

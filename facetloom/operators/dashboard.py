@@ -1,13 +1,14 @@
-"""The dashboard: a frozen snapshot of one table, its facets and metrics, and states under selections.
+"""The dashboard: one table, its facets and metrics, and states under selections.
 
-Every row carries a mask with one bit per selected facet that it fails. Rows with mask 0 match; a facet is
-counted where no bit but its own is set, so each facet is counted under every selection except its own. One pass
-over the rows (narrowed to those failing at most one selection) counts all facets; another computes all metrics.
+Nothing is read until something is asked: counts of one facet read the columns of that facet and of the selections,
+metrics those of the matching rows. ``build(snapshot=...)`` writes the rows with their numbers once, so that later
+changes of the source are not seen; ``persist=True`` keeps them in memory instead, until ``close``.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
@@ -16,14 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetloom.errors import DashboardError
-from facetloom.functions.buckets import explicit_edges  # noqa: F401
+from facetloom.functions.buckets import auto_edges, body, explicit_edges
+from facetloom.functions.names import near
 from facetloom.functions.periods import auto_granularity, next_period, resolve, to_instant
-from facetloom.functions.selection import Interval, RangeSelection, Selections, TextSelection, ValueSelection
-from facetloom.operators.facets import Facet, Metric, finite, number, with_edges
+from facetloom.functions.instants import local_date, utc_literal
+from facetloom.functions.selection import Interval, RangeSelection, Selections, TextSelection, ValueSelection, normalised
+from facetloom.operators.counting import RID, all_of, ranked, ranking, stride_sample, value_counts
+from facetloom.operators.facets import Facet, Metric, finite, number, resolved
 
-RID = "__rid"
 STATES = 8
-PRESENTED = 10_000  # values of a facet without ``top`` that are brought to the driver
+PRESENTED = 10_000  # values of a facet that a state holds on the driver; those beyond are read when asked for
 
 
 class DashboardBuilder:
@@ -35,18 +38,21 @@ class DashboardBuilder:
         self.clock = lambda: datetime.now(timezone.utc)
         self.frozen = False
 
-    def _add(self, group: list, item):
+    def _open(self):
         if self.frozen:
             raise DashboardError("the dashboard is built already")
-        key = item.key
-        if not key or not key.strip():
+
+    def _add(self, group: list, item):
+        self._open()
+        if not item.key or not item.key.strip():
             raise DashboardError("a key can't be blank")
-        if any(key == x.key for x in [*self.facets, *self.metrics]):
-            raise DashboardError(f"the key {key} is taken")
+        if any(item.key == x.key for x in [*self.facets, *self.metrics]):
+            raise DashboardError(f"the key {item.key} is taken")
         group.append(item)
         return self
 
     def where(self, condition: Column):
+        self._open()
         self.filters.append(condition)
         return self
 
@@ -67,9 +73,8 @@ class DashboardBuilder:
         return self._facet("multi", column, key, **options)
 
     def range(self, column, key=None, **options):
-        if options.get("cuts"):
-            explicit_edges(options["cuts"])
-            options["cuts"] = tuple(options["cuts"])
+        if options.get("cuts") is not None:
+            options |= {"cuts": tuple(options["cuts"]), "edges": tuple(explicit_edges(options["cuts"]))}
         return self._facet("range", column, key, **options)
 
     def date(self, column, key=None, **options):
@@ -93,62 +98,72 @@ class DashboardBuilder:
                 raise DashboardError(f"no earlier metric {u}")
         return self._add(self.metrics, Metric(key, "calculated", formula=formula, **options))
 
-    def order_by(self, *columns: Column):
+    def order_by(self, *columns: Column, key=None):
+        """``key`` maps each column to what is compared, such as ``F.lower``; null first ascending, last descending."""
+        self._open()
         if self.order:
             raise DashboardError("the order is set already; use then_by")
-        self.order = list(columns)
+        self.order = [key(c) if key else c for c in columns]
         return self
 
-    def then_by(self, *columns: Column):
+    def then_by(self, *columns: Column, key=None):
+        self._open()
         if not self.order:
             raise DashboardError("then_by needs order_by before it")
-        self.order += columns
+        self.order += [key(c) if key else c for c in columns]
         return self
 
     def now(self, clock):
         self.clock = clock
         return self
 
-    def build(self) -> "Dashboard":
+    def build(self, snapshot: str | None = None, persist: bool = False) -> "Dashboard":
+        """``snapshot``: a folder that all executors share, for the rows as they are now, with their numbers."""
         self.frozen = True
         source = reduce(lambda d, c: d.where(c), self.filters, self.source)
-        rid = F.col(self.order_key) if self.order_key else F.monotonically_increasing_id()
-        source = source.withColumn(RID, rid)
-        probe = source.select("*", *[f.raw.alias(f"__t_{f.key}") for f in self.facets if f.column is not None], *[m.raw.alias(f"__t_{m.key}") for m in self.metrics if m.column is not None])
+        source = source.withColumn(RID, (F.col(self.order_key) if self.order_key else F.monotonically_increasing_id()).cast("long"))
+        if snapshot is not None:
+            source.write.parquet(snapshot)
+            source = source.sparkSession.read.schema(source.schema).parquet(snapshot)
+        if persist:
+            source = source.persist()
+        probe = source.select(*[f.raw.alias(f"f_{f.key}") for f in self.facets if f.column is not None], *[m.raw.alias(f"m_{m.key}") for m in self.metrics if m.column is not None])
         kinds = dict(probe.dtypes)
-        facets = [replace(f, dtype=kinds.get(f"__t_{f.key}", "string")) for f in self.facets]
-        metrics = [m.typed(kinds.get(f"__t_{m.key}", "string")) for m in self.metrics]
-        wide = source.select("*", *[c.alias(n) for f in facets for n, c in f.columns().items()], *[F.coalesce(f.label, F.lit(None)).cast("string").alias(f"__l_{f.key}") for f in facets if f.label is not None], *[f.group.cast("string").alias(f"__g_{f.key}") for f in facets if f.group is not None])
-        wide = wide.persist()
-        facets, bounds = _frozen(wide, facets)
-        dash = Dashboard(wide, facets, metrics, list(self.order), self.clock, bounds)
-        return dash
-
-
-def _frozen(df: DataFrame, facets: list[Facet]):
-    """Range edges and date units, from one statistics job over all facets that need it."""
-    asked = []
-    for f in facets:
-        v = F.col(f"__v_{f.key}")
-        if f.kind == "range":
-            asked += [F.min(v).alias(f"lo_{f.key}"), F.max(v).alias(f"hi_{f.key}"), F.percentile_approx(v, [0.02, 0.98], 100_000).alias(f"p_{f.key}")]
-        elif f.kind == "date" and not f.unit:
-            asked.append(F.percentile_approx(F.unix_micros(v.cast("timestamp")), [0.02, 0.98], 100_000).alias(f"p_{f.key}"))
-    row = df.agg(*asked).first() if asked else {}
-    out, bounds = [], {}
-    for f in facets:
-        if f.kind == "range":
-            p = row[f"p_{f.key}"] or [None, None]
-            bounds[f.key] = (row[f"lo_{f.key}"], row[f"hi_{f.key}"])
-            f = with_edges(f, *bounds[f.key], *p)
-        elif f.kind == "date" and not f.unit:
-            from zoneinfo import ZoneInfo
-
-            p = row[f"p_{f.key}"]
-            days = [datetime.fromtimestamp(x / 1e6, timezone.utc).astimezone(ZoneInfo(f.zone)).date() for x in p] if p else [None, None]
-            f = replace(f, unit=auto_granularity(*days, f.max_periods))
-        out.append(f)
-    return out, bounds
+        facets = [replace(f, dtype=kinds.get(f"f_{f.key}", "string")) for f in self.facets]
+        metrics = [m.typed(kinds.get(f"m_{m.key}", "string")) for m in self.metrics]
+        rows = source.select("*", *[c.alias(n) for f in facets for n, c in f.columns().items()])
+        return Dashboard(_Core(rows, {f.key: f for f in facets}, metrics, list(self.order), self.clock, [source] if persist else []))
+
+
+class _Core:
+    """What a dashboard and its scopes share: all rows, definitions, and what was found out about them once."""
+
+    def __init__(self, rows: DataFrame, facets: dict[str, Facet], metrics: list[Metric], order, clock, held: list):
+        self.rows, self.facets, self.metrics, self.order, self.clock, self.held = rows, facets, metrics, order, clock, held
+        self.numbers = {k: i for i, k in enumerate(facets)}
+        self._shaped: dict[str, Facet] = {}
+        self._bounds: dict[str, tuple] | None = None
+
+    def shaped(self, key: str) -> Facet:
+        """The facet with its edges or period, which are found once, over all rows."""
+        f = self.facets[key]
+        if key not in self._shaped:
+            v = F.col(f"__v_{key}")
+            if f.kind == "range" and f.edges is None:
+                _, lo, hi, sample = stride_sample(self.rows, v)
+                f = replace(f, edges=tuple(auto_edges(lo, hi, *body(sample), f.buckets)))
+            elif f.kind == "date" and not f.unit:
+                f = replace(f, unit=auto_granularity(*body(stride_sample(self.rows, local_date(v, f.zone))[3]), f.max_periods))
+            self._shaped[key] = f
+        return self._shaped[key]
+
+    def bounds(self, key: str) -> tuple:
+        """Least and largest value of a range facet; all range facets are read in one pass."""
+        if self._bounds is None:
+            keys = [k for k, f in self.facets.items() if f.kind == "range"]
+            row = self.rows.agg(*[a(f"__v_{k}") for k in keys for a in (F.min, F.max)]).first()
+            self._bounds = {k: (row[2 * i], row[2 * i + 1]) for i, k in enumerate(keys)}
+        return self._bounds[key]
 
 
 @dataclass
@@ -164,12 +179,37 @@ class ValueState:
     start: object = None
 
 
+class ValueStates(Sequence):
+    """Values in ranked order. The first stand on the driver; beyond them, iteration reads partition by partition."""
+
+    def __init__(self, head: list[ValueState], size: int, whole):
+        self.head, self.size, self._whole = head, size, whole
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            start, stop, step = at.indices(self.size)
+            return [self[i] for i in range(start, stop, step)] if max(start, stop) <= len(self.head) else list(self)[at]
+        at = at + self.size if at < 0 else at
+        if not 0 <= at < self.size:
+            raise IndexError(at)
+        return self.head[at] if at < len(self.head) else next(v for i, v in enumerate(self) if i == at)
+
+    def __iter__(self) -> Iterator[ValueState]:
+        return iter(self.head) if self.size == len(self.head) else self._whole()
+
+    def __eq__(self, other):
+        return list(self) == list(other)
+
+
 @dataclass
 class FacetState:
     key: str
     kind: str
     name: str
-    values: list[ValueState]
+    values: Sequence[ValueState]
     context_count: int
     selection: object = None
     other: tuple[int, int] | None = None
@@ -180,238 +220,306 @@ class FacetState:
     unit: str | None = None
 
 
-@dataclass
 class MetricState:
-    key: str
-    value: object
-    share: float | None
+    def __init__(self, key: str, value, share):
+        self.key, self.value, self._share = key, value, share
+
+    @property
+    def share(self) -> float | None:
+        """Of the total over all rows; of counts, sums and distinct counts alone."""
+        return self._share()
+
+    def __eq__(self, other):
+        return (self.key, self.value, self.share) == (other.key, other.value, other.share)
+
+    def __repr__(self):
+        return f"MetricState({self.key!r}, {self.value!r})"
+
+
+class FacetStates(Mapping):
+    """One facet is counted when it is asked for, all of them in one pass when they are iterated."""
+
+    def __init__(self, dash, selections, now):
+        self.dash, self.selections, self.now, self.found = dash, selections, now, {}
+
+    def __getitem__(self, key: str) -> FacetState:
+        if key not in self.found:
+            self.found |= self.dash._present([self.dash.facet(key).key], self.selections, self.now)
+        return self.found[key]
+
+    def __iter__(self):
+        missing = [k for k in self.dash.facets if k not in self.found]
+        if missing:
+            self.found |= self.dash._present(missing, self.selections, self.now)
+        return iter(self.dash.facets)
+
+    def __len__(self) -> int:
+        return len(self.dash.facets)
 
 
-@dataclass
 class State:
-    dashboard: "Dashboard"
-    selections: Selections
-    total_count: int
-    matching_count: int
-    facets: dict[str, FacetState]
-    metrics: dict[str, MetricState]
+    """Counts and metrics under selections at one moment. What is read is computed once and then kept."""
+
+    def __init__(self, dash: "Dashboard", selections: Selections, now: datetime):
+        self.dashboard, self.selections, self.now = dash, selections, now
+        self.facets = FacetStates(dash, selections, now)
+        self._numbers: dict | None = None
+        self._metrics: dict[str, MetricState] | None = None
+
+    def _matched(self) -> dict:
+        if self._numbers is None:
+            self._numbers = self.dashboard.totals if not len(self.selections) else self.dashboard._measured(self.dashboard.matching(self.selections, now=self.now))
+        return self._numbers
+
+    @property
+    def total_count(self) -> int:
+        return self.dashboard.total_count
+
+    @property
+    def matching_count(self) -> int:
+        return self._matched()[None]
+
+    @property
+    def metrics(self) -> dict[str, MetricState]:
+        if self._metrics is None:
+            self._metrics = self.dashboard._metric_states(self._matched())
+        return self._metrics
 
     @property
     def items(self) -> DataFrame:
         """The matching rows in dashboard order."""
-        return self.dashboard.rows(self.selections)
+        return self.dashboard.rows(self.selections, self.now)
 
     def get_items(self, skip: int, take: int) -> DataFrame:
         return self.items.offset(skip).limit(take)
 
 
 class Dashboard:
-    def __init__(self, df: DataFrame, facets, metrics, order, clock, bounds, parent_dictionary: DataFrame | None = None):
-        self.df, self.facets, self.metrics, self.order, self.clock, self.bounds = df, {f.key: f for f in facets}, metrics, order, clock, bounds
-        self._states: OrderedDict[Selections, State] = OrderedDict()
-        self.base_columns = [c for c in df.columns if not c.startswith("__")]
-        self.dictionary = self._dictionary(parent_dictionary).persist()
-        self.total_count = df.count()
-        self.totals = self._metric_values(F.lit(True))
+    """``within``: the scope, a condition on all rows; None is all of them."""
+
+    def __init__(self, core: _Core, within: Column | None = None):
+        self.core, self.within = core, within
+        self.facets, self.metrics, self.order, self.clock = core.facets, core.metrics, core.order, core.clock
+        self.df = core.rows if within is None else core.rows.where(within)
+        self.base_columns = [c for c in self.df.columns if not c.startswith("__")]
+        self._states: OrderedDict[tuple, State] = OrderedDict()
+        self._totals: dict | None = None
 
-    # -- masks
+    def close(self) -> None:
+        """Release what is cached for this dashboard and its scopes."""
+        for df in self.core.held:
+            df.unpersist()
+        self.core.held.clear()
+
+    # -- rows
 
     def facet(self, key: str) -> Facet:
         if key not in self.facets:
-            near = [k for k in self.facets if k.lower() == key.lower()]
-            raise DashboardError(f"no facet {key}" + (f"; did you mean {near[0]}?" if near else ""), f"selections.{key}")
+            hint = near(key or "", list(self.facets))
+            raise DashboardError(f"no facet {key}" + (f"; did you mean {hint}?" if hint else ""), f"selections.{key}")
         return self.facets[key]
 
-    def _mask(self, selections: Selections, now) -> tuple[Column, dict[str, int]]:
+    def shaped(self, key: str) -> Facet:
+        return self.core.shaped(self.facet(key).key)
+
+    def bounds(self, key: str) -> tuple:
+        return self.core.bounds(key)
+
+    def _predicates(self, selections: Selections, now) -> dict[str, Column]:
         if len(selections) > 63:
             raise DashboardError("more than 63 facets are selected")
-        bits, mask = {}, F.lit(0).cast("long")
-        for i, (key, s) in enumerate(selections.items()):
-            bits[key] = 1 << i
-            mask = mask + F.when(self.facet(key).predicate_for(s, now), 0).otherwise(1 << i)
-        return mask.cast("long"), bits
-
-    def matching(self, selections: Selections, where: Column | None = None, now=None) -> DataFrame:
-        now = now or self.clock()
-        df = self.df
-        for key, s in selections.items():
-            df = df.where(self.facet(key).predicate_for(s, now))
-        return df.where(where) if where is not None else df
+        return {k: self.facet(k).predicate_for(s, now) for k, s in selections.items()}
+
+    def matching(self, selections: Selections, where=None, now=None) -> DataFrame:
+        """``where``: a condition, SQL text, or a function of the rows that returns a condition."""
+        df = reduce(DataFrame.where, self._predicates(selections, now or self.clock()).values(), self.df)
+        if where is None:
+            return df
+        return df.where(where(df) if callable(where) and not isinstance(where, Column) else where)
 
-    def rows(self, selections: Selections = Selections()) -> DataFrame:
-        return self.matching(selections).orderBy(*self.order, RID).select(*self.base_columns)
+    def rows(self, selections: Selections = Selections(), now=None) -> DataFrame:
+        return self.matching(selections, now=now).orderBy(*self.order, RID).select(*self.base_columns)
 
     # -- counting
 
-    def _dictionary(self, parent: DataFrame | None) -> DataFrame:
-        """facet, key, value, label, grp, first_rid, total; in a scope, first_rid stays the parent's."""
-        structs = []
-        for i, f in enumerate(self.facets.values()):
-            if f.kind == "text":
-                continue
-            label = F.col(f"__l_{f.key}") if f.label is not None else F.lit(None).cast("string")
-            group = F.col(f"__g_{f.key}") if f.group is not None else F.lit(None).cast("string")
-            make = lambda k, v, l=label, g=group, i=i: F.struct(F.lit(i).alias("facet"), k.alias("key"), v.cast("string").alias("value"), l.alias("label"), g.alias("grp"))
-            if f.kind == "multi":
-                items = F.col(f"__v_{f.key}")
-                pairs = _first_spellings(f, items)
-                structs.append(F.when(F.size(items) > 0, _of_pairs(pairs, make)).otherwise(F.array(make(F.lit(None).cast("string"), F.lit(None)))))
-            else:
-                v = F.col(f"__v_{f.key}") if f.kind in ("value", "boolean") else f.bucket()
-                k = F.col(f"__k_{f.key}") if f.kind in ("value", "boolean") else f.bucket().cast("string")
-                structs.append(F.array(make(k, v)))
-        if not structs:
-            return self.df.sparkSession.createDataFrame([], "facet int, key string, value string, label string, grp string, first_rid long, total long")
-        each = self.df.select(RID, F.explode(F.concat(*structs)).alias("s")).select(RID, "s.*")
-        first = F.min_by(F.struct("value", "label", "grp"), RID)
-        out = each.groupBy("facet", "key").agg(first.alias("f"), F.min(RID).alias("first_rid"), F.count(F.lit(1)).alias("total")).select("facet", "key", "f.value", "f.label", "f.grp", "first_rid", "total")
-        if parent is not None:
-            p = parent.select(F.col("facet").alias("pf"), F.col("key").alias("pk"), F.col("value").alias("pv"), F.col("label").alias("pl"), F.col("grp").alias("pg"), F.col("first_rid").alias("pr"), "total")
-            mine = out.select("facet", "key", F.col("total").alias("n"))
-            # dates and ranges keep the parent's buckets with a total of 0, values disappear
-            bucketed = [i for i, f in enumerate(self.facets.values()) if f.kind in ("range", "date")]
-            out = p.drop("total").join(mine, (F.col("pf") == F.col("facet")) & F.col("pk").eqNullSafe(F.col("key")), "left").where(F.col("n").isNotNull() | F.col("pf").isin(bucketed)).select(F.col("pf").alias("facet"), F.col("pk").alias("key"), F.col("pv").alias("value"), F.col("pl").alias("label"), F.col("pg").alias("grp"), F.col("pr").alias("first_rid"), F.coalesce("n", F.lit(0)).alias("total"))
-        return out
+    def values_frame(self, keys, selections: Selections = Selections(), now=None) -> DataFrame:
+        """facet (its number), key, value, label, grp, first_rid, total, filtered of the values of some facets."""
+        chosen = {self.core.numbers[k]: self.shaped(k) for k in keys}
+        return value_counts(self.core.rows, chosen, self._predicates(selections, now or self.clock()), self.within)
+
+    def facet_counts(self, key: str, selections: Selections = Selections(), now=None, ranked_too: bool = True) -> DataFrame:
+        """key, value, label, grp, total, filtered, rank of one facet's values, those counted zero included."""
+        found = self.values_frame([self.facet(key).key], selections, now)
+        if ranked_too:
+            found = ranked(found, ranking(self.facets[key]), self.core.held)
+        return found.select("key", "value", "label", "grp", "total", "filtered", *["rank"] * ranked_too)
 
-    def counts(self, selections: Selections, now=None) -> DataFrame:
-        """facet, key, and filtered: the rows of the facet's own context that have the key."""
-        now = now or self.clock()
-        mask, bits = self._mask(selections, now)
-        arrays = []
-        for i, f in enumerate(self.facets.values()):
-            ctx = (F.col("__mask").bitwiseAND(F.lit(~bits.get(f.key, 0)))) == 0
-            keys = F.array(F.lit(None).cast("string")) if f.kind == "text" else f.keys()
-            mine = _keyed(keys, i)
-            arrays.append(F.when(ctx, mine).otherwise(F.array().cast("array<struct<facet:int,key:string>>")))
-            own = F.array(F.struct(F.lit(-1 - i).alias("facet"), F.lit(None).cast("string").alias("key")))
-            arrays.append(F.when(ctx, own).otherwise(F.array().cast("array<struct<facet:int,key:string>>")))
-            if f.kind == "date" and f.presets:
-                v = F.col(f"__v_{f.key}")
-                for p in f.presets:
-                    lo, hi = resolve(p, now, f.zone)
-                    inside = (v >= F.lit(lo)) & (v < F.lit(hi))
-                    for flag, on in (("all", inside), ("ctx", inside & ctx)):
-                        hit = F.array(F.struct(F.lit(i).alias("facet"), F.lit(f"preset:{flag}:{p}").alias("key")))
-                        arrays.append(F.when(on, hit).otherwise(F.array().cast("array<struct<facet:int,key:string>>")))
-        whole = any(f.kind == "date" and f.presets for f in self.facets.values())
-        rows = self.df.withColumn("__mask", mask)
-        rows = rows if whole else rows.where(F.bit_count("__mask") <= 1)
-        return rows.select(F.explode(F.concat(*arrays)).alias("s")).groupBy("s.facet", "s.key").agg(F.count(F.lit(1)).alias("filtered"))
-
-    def facet_counts(self, key: str, selections: Selections = Selections(), now=None) -> DataFrame:
-        """value, label, grp, total, filtered, rank of one facet, values of count zero included."""
-        f, i = self.facet(key), list(self.facets).index(key)
-        found = self.counts(selections, now).where(F.col("facet") == i).select(F.col("key").alias("k2"), "filtered")
-        d = self.dictionary.where(F.col("facet") == i)
-        joined = d.join(found, F.col("key").eqNullSafe(F.col("k2")), "left").withColumn("filtered", F.coalesce("filtered", F.lit(0)))
-        return joined.withColumn("rank", F.row_number().over(Window.orderBy(*_ranking(f)))).select("key", "value", "label", "grp", "total", "filtered", "rank")
+    def dictionary(self, key: str) -> DataFrame:
+        return self.values_frame([self.facet(key).key]).select("key", "value", "label", "grp", "first_rid", "total")
 
     # -- metrics
 
-    def _metric_values(self, on: Column, df: DataFrame | None = None) -> dict[str, object]:
+    def _measured(self, df: DataFrame) -> dict:
+        """The number of rows (under None) and every metric that is no formula, in one pass."""
         plain = [m for m in self.metrics if m.aggregation != "calculated"]
-        if not plain:
-            return {}
-        row = (self.df if df is None else df).agg(*[m.aggregate(on).alias(m.key) for m in plain]).first()
-        return {m.key: finite(row[m.key]) for m in plain}
+        row = df.agg(F.count(F.lit(1)), *[m.aggregate().alias(m.key) for m in plain]).first()
+        return {None: row[0]} | {m.key: finite(row[i]) for i, m in enumerate(plain, 1)}
+
+    @property
+    def totals(self) -> dict:
+        if self._totals is None:
+            self._totals = self._measured(self.df)
+        return self._totals
 
-    def _metric_states(self, values) -> dict[str, MetricState]:
+    @property
+    def total_count(self) -> int:
+        return self.totals[None]
+
+    def _metric_states(self, values: dict) -> dict[str, MetricState]:
         out: dict[str, MetricState] = {}
-        for m in self.metrics:
-            if m.aggregation == "calculated":
-                out[m.key] = MetricState(m.key, _formula(m, out), None)
-            else:
+
+        def share_of(m: Metric):
+            def share():
                 v, total = values[m.key], self.totals[m.key]
-                share = v / total if m.aggregation in ("count", "sum", "distinct") and v is not None and total else None
-                out[m.key] = MetricState(m.key, v, share)
+                return v / total if v is not None and total else None
+
+            return share if m.aggregation in ("count", "sum", "distinct") else lambda: None
+
+        for m in self.metrics:
+            out[m.key] = MetricState(m.key, _formula(m, out), lambda: None) if m.aggregation == "calculated" else MetricState(m.key, values[m.key], share_of(m))
         return out
 
     # -- states
 
     def calculate(self, selections: Selections = Selections()) -> State:
+        """Presets mean what they mean at this moment; a state is used again only while they mean the same."""
         now = self.clock()
-        if selections in self._states:
-            self._states.move_to_end(selections)
-            return self._states[selections]
         for key, s in selections.items():
             self.facet(key).check(s)
-        found = self.counts(selections, now).persist()
-        try:
-            context = {-1 - r["facet"]: r["filtered"] for r in found.where("facet < 0").collect()}
-            states = {f.key: self._present(i, f, found, selections, context.get(i, 0), now) for i, f in enumerate(self.facets.values())}
-        finally:
-            found.unpersist()
-        matching = self.matching(selections, now=now)
-        values = self.totals if not len(selections) else self._metric_values(F.lit(True), matching)
-        count = self.total_count if not len(selections) else matching.count()
-        state = State(self, selections, self.total_count, count, states, self._metric_states(values))
-        self._states[selections] = state
+        moments = [tuple(resolve(p, now, f.zone) for p in (*f.presets, *getattr(selections.get(k), "presets", ()))) for k, f in self.facets.items() if f.kind == "date"]
+        key = (selections, tuple(moments))
+        state = self._states.pop(key, None) or State(self, selections, now)
+        self._states[key] = state
         if len(self._states) > STATES:
             self._states.popitem(last=False)
         return state
 
-    def _present(self, i: int, f: Facet, found: DataFrame, selections, context: int, now) -> FacetState:
+    def _contexts(self, keys, selections: Selections, now) -> dict:
+        """Context counts of multi-valued and text facets, and (in all rows, in the context) of presets: one pass."""
+        predicates = self._predicates(selections, now)
+        asked: dict = {}
+        for k in keys:
+            f, own = self.facets[k], all_of([p for o, p in predicates.items() if o != k])
+            if f.kind in ("multi", "text"):
+                asked[k] = F.count_if(own)
+            for p in f.presets if f.kind == "date" else ():
+                lo, hi = resolve(p, now, f.zone)
+                inside = (F.col(f"__v_{k}") >= utc_literal(lo)) & (F.col(f"__v_{k}") < utc_literal(hi))
+                asked[k, p, 0], asked[k, p, 1] = F.count_if(inside), F.count_if(inside & own)
+        return dict(zip(asked, self.df.agg(*asked.values()).first())) if asked else {}
+
+    def _picked(self, key: str, selections: Selections) -> Column:
+        """Whether a value is selected, by the facet's own key."""
+        selection = selections.get(key)
+        if not self.facets[key].valued or not selection:
+            return F.lit(False)
+        wanted = self.facets[key].wanted(selection.values)
+        hit = F.coalesce(F.col("key").isin(wanted), F.lit(False)) if wanted else F.lit(False)
+        return hit | (F.col("key").isNull() if None in selection.values else F.lit(False))
+
+    def _present(self, keys: list[str], selections: Selections, now) -> dict[str, FacetState]:
+        facets = {k: self.shaped(k) for k in keys}
+        number = self.core.numbers
+        counted = [k for k in keys if facets[k].kind != "text"]
+        extra = self._contexts(keys, selections, now)
+        rows: dict[str, list] = {k: [] for k in keys}
+        sums: dict[str, list] = {k: [] for k in keys}
+        if counted:
+            of = {number[k]: k for k in counted}
+            by_facet = lambda value, default: reduce(lambda c, k: F.when(F.col("facet") == number[k], value(k)).otherwise(c), counted, F.lit(default))
+            found = self.values_frame(counted, selections, now).withColumn("picked", by_facet(lambda k: self._picked(k, selections), False)).persist()
+            try:
+                by_total = F.col("facet").isin([number[k] for k in counted if facets[k].rank != "filtered"])
+                best = found.withColumn("a", F.when(by_total, F.col("total")).otherwise(F.col("filtered"))).withColumn("b", F.when(by_total, F.col("filtered")).otherwise(F.col("total")))
+                valued = [number[k] for k in counted if facets[k].valued]
+                limits = {k: facets[k].top or PRESENTED for k in counted if facets[k].valued}
+                order = Window.partitionBy("facet").orderBy(F.desc("picked"), F.desc("a"), F.desc("b"), F.col("key").isNull(), "first_rid")
+                tops = best.where(F.col("facet").isin(valued)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(limits.values(), default=0))
+                tops = tops.where(F.col("rank") <= by_facet(lambda k: F.lit(limits.get(k, 0)), 0)).drop("rank") if limits else None
+                buckets = best.where(~F.col("facet").isin(valued)) if len(valued) < len(counted) else None
+                for r in (tops.unionAll(buckets) if tops is not None and buckets is not None else buckets if tops is None else tops).collect():
+                    rows[of[r["facet"]]].append(r)
+                each = found.groupBy("facet", F.lower("grp").alias("g")).agg(F.min_by("grp", "first_rid").alias("grp"), F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"), F.sum("filtered").alias("filtered"))
+                for r in each.collect():
+                    sums[of[r["facet"]]].append(r)
+            finally:
+                found.unpersist()
+        return {k: self._state(facets[k], rows[k], sums[k], extra, selections, now) for k in keys}
+
+    def _state(self, f: Facet, rows, sums, extra: dict, selections: Selections, now) -> FacetState:
         selection = selections.get(f.key)
-        state = FacetState(f.key, f.kind, f.name or f.key, [], context, selection, unit=f.unit)
-        if f.kind == "text":
-            return state
-        got = found.where(F.col("facet") == i).select(F.col("key").alias("k2"), "filtered")
-        joined = self.dictionary.where(F.col("facet") == i).join(got, F.col("key").eqNullSafe(F.col("k2")), "left").withColumn("filtered", F.coalesce("filtered", F.lit(0))).drop("k2")
-        if f.kind in ("value", "boolean", "multi"):
-            keys = {_fold_key(f, v) for v in selection.values} if selection else set()
-            picked = F.col("key").isin([k for k in keys if k is not None]) if keys - {None} else F.lit(False)
-            picked = F.coalesce(picked, F.lit(None in keys))
-            ranked = joined.orderBy(picked.desc(), *_ranking(f)).limit(f.top or PRESENTED).collect()
-            values = [ValueState(r["key"], _typed(f, r["value"]), r["label"], r["grp"], r["total"], r["filtered"], r["key"] in keys) for r in ranked]
-            order = (lambda v: (-v.filtered, -v.total)) if f.rank == "filtered" else (lambda v: (-v.total, -v.filtered))
-            first = {r["key"]: r["first_rid"] for r in ranked}
-            state.values = sorted(values, key=lambda v: (*order(v), v.key is None, first[v.key]))
-            if f.top and f.kind != "multi":
-                rest = (self.total_count - sum(v.total for v in values), context - sum(v.filtered for v in values))
-                state.other = rest if joined.count() > len(values) else None
+        whole = sum(r["filtered"] for r in sums)
+        state = FacetState(f.key, f.kind, f.name or f.key, [], extra.get(f.key, whole), selection, unit=f.unit)
+        if f.valued:
+            make = lambda r: ValueState(r["key"], f.typed(r["value"]), r["label"], r["grp"], r["total"], r["filtered"], bool(r["picked"]))
+            head = [make(r) for r in sorted(rows, key=lambda r: (-r["a"], -r["b"], r["key"] is None, r["first_rid"]))]
+            size = sum(r["n"] for r in sums)
+            if f.top or len(head) == size:
+                state.values = ValueStates(head, len(head), None)
+            else:  # selected values stand where they rank, as everywhere; all are read in order when they are iterated
+                every = lambda: map(make, self.values_frame([f.key], selections, now).withColumn("picked", self._picked(f.key, selections)).orderBy(*ranking(f)).toLocalIterator())
+                state.values = ValueStates([] if selection else head, size, every)
+            if f.top and f.kind != "multi" and size > len(head):
+                state.other = (sum(r["total"] for r in sums) - sum(v.total for v in head), whole - sum(v.filtered for v in head))
             if f.group is not None:
-                grouped = joined.where("key IS NOT NULL AND grp IS NOT NULL").groupBy(F.lower("grp").alias("g")).agg(F.min_by("grp", "first_rid").alias("grp"), F.sum("total").alias("total"), F.sum("filtered").alias("filtered")).collect()
-                state.groups = sorted(((r["grp"], r["total"], r["filtered"]) for r in grouped), key=lambda g: ((-g[2], -g[1]) if f.rank == "filtered" else (-g[1], -g[2]), g[0].lower()))
+                ordered = (lambda g: (-g["filtered"], -g["total"])) if f.rank == "filtered" else (lambda g: (-g["total"], -g["filtered"]))
+                named = sorted((r for r in sums if r["g"] is not None), key=lambda r: (*ordered(r), r["g"]))
+                state.groups = [(r["grp"], r["total"], r["filtered"]) for r in named]
             return state
-        rows = {r["key"]: (r["total"], r["filtered"]) for r in joined.collect()}
+        by_key = {r["key"]: (r["total"], r["filtered"]) for r in rows}
         if f.kind == "range":
-            state.minimum, state.maximum = self.bounds.get(f.key, (None, None))
+            state.minimum, state.maximum = self.bounds(f.key)
             for b in range(max(len(f.edges) - 1, 0)):
                 part = bucket_interval(f, b)
-                state.values.append(ValueState(str(b), b, None, None, *rows.get(str(b), (0, 0)), bool(selection and selection.contains(part)), part))
-        else:
-            absolute = DateParts(selection, now, f.zone)
-            for k in sorted(k for k in rows if k is not None):
+                state.values.append(ValueState(str(b), b, None, None, *by_key.get(str(b), (0, 0)), bool(selection and selection.contains(part)), part))
+        elif f.kind == "date":
+            chosen = normalised(resolved(selection, now, f.zone)) if selection else ()
+            for k in sorted(k for k in by_key if k is not None):
                 start = datetime.fromisoformat(k).date()
-                part = Interval(to_instant(start, f.zone), to_instant(next_period(start, f.unit), f.zone), False, True)
-                state.values.append(ValueState(k, start, None, None, *rows[k], absolute.covers(part), part, start))
-            hits = {r["k2"]: r["filtered"] for r in got.where(F.col("k2").startswith("preset:")).collect()} if f.presets else {}
+                part = period_interval(f, start, f.unit)
+                state.values.append(ValueState(k, start, None, None, *by_key[k], any(p.covers(part) for p in chosen), part, start))
             for p in f.presets:
                 part = Interval(*resolve(p, now, f.zone), False, True)
-                state.presets.append(ValueState(p, p, None, None, hits.get(f"preset:all:{p}", 0), hits.get(f"preset:ctx:{p}", 0), bool(selection) and (p in selection.presets or part in selection.intervals), part))
-        if None in rows:
-            state.values.append(ValueState(None, None, None, None, *rows[None], bool(selection and selection.nulls)))
+                total, filtered = extra[f.key, p, 0], extra[f.key, p, 1]
+                if total or not f.skip_empty_presets:
+                    state.presets.append(ValueState(p, p, None, None, total, filtered, bool(selection) and (p in selection.presets or part in selection.intervals), part))
+        if None in by_key:
+            state.values.append(ValueState(None, None, None, None, *by_key[None], bool(selection and selection.nulls)))
         return state
 
     def search(self, key: str, text: str, most: int = 20, selections: Selections = Selections()) -> list[ValueState]:
         """Values whose label, or value if they have none, contains the text, ignoring case; best ranked first."""
         if most < 1:
             raise DashboardError("at least one value must be asked for")
-        f, i = self.facet(key), list(self.facets).index(key)
-        got = self.counts(selections).where(F.col("facet") == i).select(F.col("key").alias("k2"), "filtered")
-        d = self.dictionary.where((F.col("facet") == i) & F.col("key").isNotNull() & F.contains(F.lower(F.coalesce("label", "value")), F.lit(text.lower())))
-        rows = d.join(got, F.col("key").eqNullSafe(F.col("k2")), "left").withColumn("filtered", F.coalesce("filtered", F.lit(0))).orderBy(*_ranking(f)).limit(most).collect()
-        return [ValueState(r["key"], _typed(f, r["value"]), r["label"], r["grp"], r["total"], r["filtered"]) for r in rows]
+        f = self.facet(key)
+        hit = F.col("key").isNotNull() & F.contains(F.lower(F.coalesce("label", "value")), F.lit(text.lower()))
+        rows = self.values_frame([key], selections).where(hit).withColumn("picked", self._picked(key, selections)).orderBy(*ranking(f)).limit(most).collect()
+        return [ValueState(r["key"], f.typed(r["value"]), r["label"], r["grp"], r["total"], r["filtered"], r["picked"]) for r in rows]
+
+    def labels(self, key: str, values) -> dict:
+        """Key -> (value, label or None) of the given values, in any form that the facet takes."""
+        f = self.facet(key)
+        wanted = f.wanted(values)
+        return {r["key"]: (f.typed(r["value"]), r["label"]) for r in self.dictionary(key).where(F.col("key").isin(wanted)).collect()} if wanted else {}
 
     def label_of(self, key: str, value) -> str | None:
-        f, i = self.facet(key), list(self.facets).index(key)
-        row = self.dictionary.where((F.col("facet") == i) & F.col("key").eqNullSafe(F.lit(_fold_key(f, value)))).first()
-        return row and (row["label"] or row["value"])
+        found = list(self.labels(key, [value]).values())
+        return found and (found[0][1] or str(found[0][0])) or None
 
     def group_values(self, key: str, group: str) -> list:
-        f, i = self.facet(key), list(self.facets).index(key)
-        rows = self.dictionary.where((F.col("facet") == i) & F.col("key").isNotNull() & (F.lower("grp") == group.lower())).orderBy("first_rid").collect()
-        return [_typed(f, r["value"]) for r in rows]
+        f = self.facet(key)
+        rows = self.dictionary(key).where(F.col("key").isNotNull() & (F.lower("grp") == group.lower())).orderBy("first_rid").collect()
+        return [f.typed(r["value"]) for r in rows]
 
     def toggle_group(self, selections: Selections, key: str, group: str) -> Selections:
         return selections.toggle(key, *self.group_values(key, group))
@@ -420,13 +528,13 @@ class Dashboard:
 
     def scope(self, by: Column | Selections) -> "Dashboard":
         """A dashboard over part of the rows, with this one's buckets and periods; presets are resolved now."""
-        df = self.matching(by) if isinstance(by, Selections) else self.df.where(by)
-        return Dashboard(df, self.facets.values(), self.metrics, self.order, self.clock, self.bounds, self.dictionary)
+        condition = all_of(self._predicates(by, self.clock()).values()) if isinstance(by, Selections) else F.coalesce(by, F.lit(False))
+        return Dashboard(self.core, condition if self.within is None else self.within & condition)
 
-    def query(self, query) -> "object":
+    def query(self, query, cancellation=None):
         from facetloom.operators.query import run
 
-        return run(self, query)
+        return run(self, query, cancellation)
 
 
 class _NoValue(Exception):
@@ -451,64 +559,14 @@ def _formula(m: Metric, states: dict[str, MetricState]):
         return None
 
 
-class DateParts:
-    """Absolute intervals and resolved presets of a date selection, joined."""
-
-    def __init__(self, selection, now, zone):
-        from facetloom.functions.selection import normalised
-        from facetloom.operators.facets import resolved
-
-        self.parts = normalised(resolved(selection, now, zone)) if selection else ()
-
-    def covers(self, part: Interval) -> bool:
-        return any(p.covers(part) for p in self.parts)
-
-
 def bucket_interval(f: Facet, b: int) -> Interval:
     lo, hi = f.edges[b], f.edges[b + 1]
     last = b == len(f.edges) - 2
     return Interval(None if lo == float("-inf") else lo, None if hi == float("inf") else hi, False, hi != float("inf") and not last)
 
 
-def _first_spellings(f: Facet, items: Column) -> Column:
-    """(k, v) of each distinct folded item, in the spelling that stands first."""
-    keys = F.array_distinct(F.transform(items, lambda x: f.folded(x)))
-    all_keys = F.transform(items, lambda x: f.folded(x))
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(items, F.array_position(all_keys, k).cast("int")).cast("string").alias("v")))
-
-
-def _of_pairs(pairs: Column, make) -> Column:
-    return F.transform(pairs, lambda p: make(p["k"], p["v"]))
-
-
-def _keyed(keys: Column, i: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(i).alias("facet"), k.alias("key")))
-
-
-def _ranking(f: Facet):
-    a, b = ("filtered", "total") if f.rank == "filtered" else ("total", "filtered")
-    return [F.desc(a), F.desc(b), F.col("key").isNull(), F.col("first_rid")]
-
-
-def _fold_key(f: Facet, v):
-    if v is None:
-        return None
-    v = f.coerced(v)
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    text = str(v)
-    return text.lower() if f.fold is None and f.dtype in ("string", "array<string>") else text
-
-
-def _typed(f: Facet, text):
-    if text is None:
-        return None
-    kind = f.dtype.removeprefix("array<").removesuffix(">")
-    if kind == "boolean":
-        return text == "true"
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return int(text)
-    return float(text) if kind in ("float", "double") else text
+def period_interval(f: Facet, start, unit: str) -> Interval:
+    return Interval(to_instant(start, f.zone), to_instant(next_period(start, unit), f.zone), False, True)
 
 
-__all__ = ["Dashboard", "DashboardBuilder", "State", "RangeSelection", "TextSelection", "ValueSelection", "Selections", "number", "Facet", "Metric"]
+__all__ = ["Dashboard", "DashboardBuilder", "State", "RangeSelection", "TextSelection", "ValueSelection", "Selections", "number", "Facet", "Metric", "PRESENTED"]

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetloom.errors import DashboardError
+from facetloom.functions.instants import instant_of, period_of, utc_of
 from facetloom.functions.names import resolve_name
 from facetloom.functions.periods import GRANULARITIES
-from facetloom.functions.selection import Selections
-from facetloom.operators.dashboard import RID, bucket_interval
+from facetloom.functions.selection import Interval, Selections
+from facetloom.operators.counting import RID
+from facetloom.operators.dashboard import bucket_interval
+from facetloom.operators.facets import NUMERIC, aggregated, is_text, number
 
 ROWS_DEFAULT, ROWS_MOST = 100, 10_000
-NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 @dataclass(frozen=True)
@@ -51,11 +54,13 @@ class Order:
 
 @dataclass(frozen=True)
 class Query:
+    """``where``: a condition, SQL text, or a function of the rows that returns a condition."""
+
     group_by: tuple = ()
     values: tuple = ()
     columns: tuple = ()
     selections: Selections = field(default_factory=Selections)
-    where: Column | Callable | None = None
+    where: Column | str | Callable[[DataFrame], Column] | None = None
     order_by: Order | None = None
     take: int | None = None
 
@@ -72,28 +77,68 @@ class ColumnInfo:
 
 @dataclass
 class QueryResult:
+    """``df``: a range cell is a struct (index, from, to, from_inclusive, to_inclusive), a period cell one of (start, from,
+    to, granularity), where from and to are instants; other cells are plain values."""
+
     df: DataFrame
     columns: list[ColumnInfo]
     whole: DataFrame
     take: int | None
+    dash: object = None
+    cancellation: object = None
+
+    def _under(self):
+        return self.cancellation.on(self.df.sparkSession) if self.cancellation else nullcontext()
+
+    def collect(self) -> list:
+        with self._under():
+            return self.df.collect()
 
     @property
     def total(self) -> int:
         """Groups or rows before the cut."""
-        return self.whole.count()
+        with self._under():
+            return self.whole.count()
+
+    def labelled(self) -> DataFrame:
+        """``df`` with a column ``<key> label`` beside each column of a labelled facet, in the same order."""
+        out, names = self.df.withColumn("__at", F.monotonically_increasing_id()), []
+        for c in self.columns:
+            names.append(c.key)
+            f = self.dash.facets.get(c.source)
+            if c.kind == "value" and c.role != "value" and f is not None and f.label is not None and f.kind != "multi":
+                known = self.dash.dictionary(c.source).select(F.col("key").alias("__key"), F.col("label").alias(f"{c.key} label"))
+                out = out.join(known, f.folded(F.col(c.key)).eqNullSafe(F.col("__key")), "left").drop("__key")
+                names.append(f"{c.key} label")
+        return out.orderBy("__at").select(*[F.col(f"`{n}`") for n in names])
 
     @property
     def is_cut(self) -> bool:
         return self.take is not None and self.total > self.take
 
 
-def run(dash, q: Query) -> QueryResult:
+def selection_of(info: ColumnInfo, cell):
+    """What a cell stands for in a selection: an interval, or the value itself."""
+    if cell is not None and info.kind == "interval":
+        return Interval(cell["from"], cell["to"], not cell["from_inclusive"], not cell["to_inclusive"])
+    if cell is not None and info.kind == "period":
+        from datetime import timezone
+
+        return Interval(*(cell[c].astimezone(timezone.utc) for c in ("from", "to")), False, True)
+    return cell
+
+
+def run(dash, q: Query, cancellation=None) -> QueryResult:
+    if cancellation is not None:
+        cancellation.check()
     if q.take is not None and q.take < 0:
         raise DashboardError("take can't be negative", "take")
     for k in q.selections.keys():
         dash.facet(k)
     rows = dash.matching(q.selections, q.where)
-    return _rows(dash, q, rows) if q.columns else _groups(dash, q, rows)
+    result = _rows(dash, q, rows) if q.columns else _groups(dash, q, rows)
+    result.dash, result.cancellation = dash, cancellation
+    return result
 
 
 def _dtype(dash, name: str) -> str:
@@ -114,19 +159,19 @@ def _dimension(dash, d: Dimension, path: str):
         if d.period and f.kind != "date":
             raise DashboardError(f"{name} has no periods", path)
         if f.kind == "range":
-            return f.bucket(), None, ColumnInfo(d.key, "dimension", "interval", name), f
+            return dash.shaped(name).bucket(), None, ColumnInfo(d.key, "dimension", "interval", name), dash.shaped(name)
         if f.kind == "date":
-            unit = d.period or f.unit
+            unit = d.period or dash.shaped(name).unit
             return f.local_period(F.col(f"__v_{name}"), unit), None, ColumnInfo(d.key, "dimension", "period", name, granularity=unit), f
         return F.col(f"__k_{name}"), F.col(f"__v_{name}"), ColumnInfo(d.key, "dimension", "value", name), f
     dtype, c = _dtype(dash, name), F.col(name)
     if d.period:
         if dtype not in ("timestamp", "timestamp_ntz", "date"):
             raise DashboardError(f"{name} has no periods", path)
-        return F.date_trunc(d.period, c.cast("timestamp")).cast("date"), None, ColumnInfo(d.key, "dimension", "period", name, granularity=d.period), None
+        return period_of(utc_of(c, dtype, "UTC"), "UTC", d.period), None, ColumnInfo(d.key, "dimension", "period", name, granularity=d.period), None
     if dtype.startswith(("struct", "map", "binary")):
         raise DashboardError(f"{name} can't be grouped by", path)
-    fold = F.lower if dtype in ("string", "array<string>") else (lambda x: x)
+    fold = F.lower if is_text(dtype) else (lambda x: x)
     if dtype.startswith("array<"):
         items = F.filter(F.coalesce(c, F.array().cast(dtype)), lambda x: x.isNotNull())
         return F.array_distinct(F.transform(items, lambda x: fold(x))), items, ColumnInfo(d.key, "dimension", "value", name), "array"
@@ -140,10 +185,9 @@ def _number(dash, name: str, path: str) -> Column:
         if f.kind == "range":
             return F.col(f"__v_{name}")
         if f.kind == "value" and (f.dtype in NUMERIC or f.dtype.startswith("decimal")):
-            return F.col(f"__v_{name}").cast("double")
+            return number(F.col(f"__v_{name}"))
     elif kind == "property" and (_dtype(dash, name) in NUMERIC or _dtype(dash, name).startswith("decimal")):
-        d = F.col(name).cast("double")
-        return F.when(~F.isnan(d), d)
+        return number(F.col(name))
     raise DashboardError(f"{name} isn't a number", path)
 
 
@@ -162,9 +206,22 @@ def _distinct(dash, name: str, path: str) -> tuple[Column, bool]:
         raise DashboardError(f"{name} is a metric", path)
     dtype, c = _dtype(dash, name), F.col(name)
     if dtype.startswith("array<"):
-        fold = F.lower if dtype == "array<string>" else (lambda x: x)
-        return F.transform(c, lambda x: fold(x)), True
-    return (F.lower(c) if dtype == "string" else c), False
+        return (F.transform(c, F.lower) if is_text(dtype) else c), True
+    return (F.lower(c) if is_text(dtype) else c), False
+
+
+def _cell(info: ColumnInfo, f, key: Column) -> Column:
+    """The shown cell of a grouped range or period; null for the group without a value."""
+    if info.kind == "interval":
+        parts = [bucket_interval(f, b) for b in range(max(len(f.edges) - 1, 0))] or [Interval()]
+        bounds = [F.struct(F.lit(p.lo).cast("double").alias("from"), F.lit(p.hi).cast("double").alias("to"), F.lit(not p.lo_open).alias("from_inclusive"), F.lit(not p.hi_open).alias("to_inclusive")) for p in parts]
+        at = F.element_at(F.array(*bounds), key + 1)
+        return F.when(key.isNotNull(), F.struct(key.alias("index"), *[at[n].alias(n) for n in ("from", "to", "from_inclusive", "to_inclusive")]))
+    days, months = {"day": 1, "week": 7}.get(info.granularity), {"month": 1, "quarter": 3, "year": 12}.get(info.granularity)
+    following = F.date_add(key, days) if days else F.add_months(key, months)
+    zone = f.zone if f is not None else "UTC"
+    start, end = (instant_of(utc_of(x, "date", zone)) for x in (key, following))
+    return F.when(key.isNotNull(), F.struct(key.alias("start"), start.alias("from"), end.alias("to"), F.lit(info.granularity).alias("granularity")))
 
 
 def _groups(dash, q: Query, rows: DataFrame) -> QueryResult:
@@ -176,14 +233,15 @@ def _groups(dash, q: Query, rows: DataFrame) -> QueryResult:
     if len(set(keys)) < len(keys):
         again = next(k for i, k in enumerate(keys) if k in keys[:i])
         raise DashboardError(f"the column {again} is there twice", "values")
-    infos, names = [], []
+    infos, names, facets = [], [], []
     for i, d in enumerate(dims):
         key, shown, info, f = _dimension(dash, d, f"groupBy[{i}]")
         infos.append(info)
+        facets.append(f)
         several = f == "array" or getattr(f, "kind", None) == "multi"
         if several:
             if shown is not None:
-                fold = (lambda x, f=f: f.folded(x)) if f != "array" else (F.lower if _dtype(dash, info.source) == "array<string>" else (lambda x: x))
+                fold = f.folded if f != "array" else F.lower if is_text(_dtype(dash, info.source)) else (lambda x: x)
                 pairs = _spelled(shown, fold)
             rows = rows.withColumn(f"__p{i}", F.explode_outer(pairs)).withColumn(f"__d{i}", F.col(f"__p{i}.k")).withColumn(f"__s{i}", F.col(f"__p{i}.v"))
         else:
@@ -191,7 +249,6 @@ def _groups(dash, q: Query, rows: DataFrame) -> QueryResult:
         names.append(f"__d{i}")
     aggs, later, sides = [], [], []
     metrics = {m.key: m for m in dash.metrics}
-    on = F.lit(True)
     for j, v in enumerate(values):
         path = f"values[{j}]"
         if v.aggregation is None:
@@ -201,7 +258,7 @@ def _groups(dash, q: Query, rows: DataFrame) -> QueryResult:
             if m.aggregation == "calculated":
                 later.append((v.key, m))
             else:
-                aggs.append(m.aggregate(on).alias(v.key))
+                aggs.append(m.aggregate().alias(v.key))
         elif v.aggregation == "count":
             aggs.append(F.count(F.lit(1)).alias(v.key))
         elif v.aggregation == "distinct":
@@ -211,14 +268,14 @@ def _groups(dash, q: Query, rows: DataFrame) -> QueryResult:
             else:
                 aggs.append(F.nullif(F.count_distinct(what), F.lit(0)).alias(v.key))
         elif v.aggregation in ("sum", "average", "min", "max"):
-            x = _number(dash, v.name, path)
-            aggs.append({"sum": F.sum, "average": F.avg, "min": F.min, "max": F.max}[v.aggregation](x).alias(v.key))
+            aggs.append(aggregated(v.aggregation, _number(dash, v.name, path)).alias(v.key))
         else:
             raise DashboardError(f"unknown aggregation {v.aggregation}", path)
         infos.append(ColumnInfo(v.key, "value", "number", v.name, v.aggregation or metrics[v.name].aggregation))
     need = [m for m in dash.metrics if m.aggregation != "calculated"] if later else []
-    aggs += [m.aggregate(on).alias(f"__m_{m.key}") for m in need]
-    shown = [F.min_by(f"__s{i}", RID).alias(f"__o{i}") for i in range(len(dims))]
+    aggs += [m.aggregate().alias(f"__m_{m.key}") for m in need]
+    # what a group shows is read from its first row, unless it is made from the group's key
+    shown = [F.min_by(f"__s{i}", RID).alias(f"__o{i}") for i, info in enumerate(infos[: len(dims)]) if info.kind not in ("interval", "period")]
     made = rows.groupBy(*names).agg(F.min(RID).alias("__first"), *shown, *aggs) if names else rows.agg(F.min(RID).alias("__first"), *aggs)
     for key, what in sides:
         side = rows.select(*names, F.explode(what).alias("__x")).groupBy(*names).agg(F.nullif(F.count_distinct("__x"), F.lit(0)).alias(key)) if names else rows.select(F.explode(what).alias("__x")).agg(F.nullif(F.count_distinct("__x"), F.lit(0)).alias(key))
@@ -226,8 +283,8 @@ def _groups(dash, q: Query, rows: DataFrame) -> QueryResult:
         made = made.join(side, [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names], "left") if names else made.crossJoin(F.broadcast(side))
     for key, m in later:
         made = made.withColumn(key, _calculated(dash, m))
-    out_dims = [F.col(f"__o{i}").alias(d.key) for i, d in enumerate(dims)]
-    natural = [F.col(n).asc_nulls_last() for n in names] + [F.col("__first")]
+    out_dims = [(_cell(infos[i], facets[i], F.col(f"__d{i}")) if infos[i].kind in ("interval", "period") else F.col(f"__o{i}")).alias(d.key) for i, d in enumerate(dims)]
+    natural = [_ordinal(facets[i], F.col(n)).asc_nulls_last() for i, n in enumerate(names)] + [F.col("__first")]
     order = natural
     if q.order_by is not None:
         if q.order_by.key not in keys:
@@ -240,6 +297,12 @@ def _groups(dash, q: Query, rows: DataFrame) -> QueryResult:
     return QueryResult(ordered.select(*out_dims, *[F.col(v.key) for v in values]), infos, made, q.take)
 
 
+def _ordinal(f, key: Column) -> Column:
+    """Groups of an enumeration stand in the order of its members."""
+    members = getattr(f, "members", None)
+    return F.nullif(F.array_position(F.array(*[F.lit(m.lower()) for m in members]), F.lower(key)), F.lit(0)) if members else key
+
+
 def _spelled(items: Column, fold) -> Column:
     """(k, v) of each distinct folded item and the spelling that stands first."""
     folded = F.transform(items, lambda x: fold(x))
@@ -278,7 +341,7 @@ def _rows(dash, q: Query, rows: DataFrame) -> QueryResult:
             if f.kind == "text":
                 raise DashboardError(f"the text facet {name} is no column", path)
             shape = {"range": "number", "date": "instant"}.get(f.kind, "value")
-            out.append((d.key, F.col(f"__v_{name}")))
+            out.append((d.key, instant_of(F.col(f"__v_{name}")) if f.kind == "date" else F.col(f"__v_{name}")))
         else:
             dtype = _dtype(dash, name)
             if dtype.startswith(("struct", "map")):
@@ -298,4 +361,4 @@ def _rows(dash, q: Query, rows: DataFrame) -> QueryResult:
     return QueryResult(rows.orderBy(*order).limit(take).select(*[c.alias(k) for k, c in out]), infos, rows, take)
 
 
-__all__ = ["Query", "Dimension", "Value", "Order", "QueryResult", "ColumnInfo", "bucket_interval"]
+__all__ = ["Query", "Dimension", "Value", "Order", "QueryResult", "ColumnInfo", "bucket_interval", "selection_of"]

@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from facetloom.functions.instants import instant_of
 from facetloom.functions.selection import DateSelection, Interval, RangeSelection, Selections, TextSelection
 from facetloom.functions.where import parse
 from facetloom.operators.dashboard import DashboardBuilder
@@ -69,10 +70,10 @@ def items(spark, sf, **options):
     )
 
 
-def events(spark, sf, zone="UTC", unit=None):
+def events(spark, sf, zone="UTC", unit=None, clock=lambda: NOW):
     rows = read(spark, sf, "events").withColumn("kind", F.nullif(F.col("event_type"), F.lit("error")))
     presets = ("today", "yesterday", "last7Days", "thisWeek", "thisMonth", "yearToDate")
-    return DashboardBuilder(rows, "event_id").value("kind").date(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"), "ts", zone=zone, unit=unit, presets=presets).count("n").now(lambda: NOW).build()
+    return DashboardBuilder(rows, "event_id").value("kind").date(instant_of(F.col("ts")), "ts", zone=zone, unit=unit, presets=presets).count("n").now(clock).build()
 
 
 def parts(spark, sf):
@@ -90,44 +91,44 @@ STATUS_F = Selections().with_("o_orderstatus", "F")
 RANGE = Selections().with_("o_totalprice", RangeSelection((Interval(50_000.0, 100_000.0, False, True), Interval(150_000.0, None))))
 
 
-def counted(dash, key, sel=Selections(), name=None):
-    return dash.facet_counts(key, sel).select(F.col("value").alias(name or key), "total", "filtered", F.col("rank"))
+def counted(dash, key, sel=Selections(), name=None, rank=False):
+    return dash.facet_counts(key, sel, ranked_too=rank).select(F.col("value").alias(name or key), "total", "filtered", *["rank"] * rank)
 
 
 @query("SELECT o_orderstatus, count(*) AS total, count(*) AS filtered, row_number() OVER (ORDER BY count(*) DESC, min(o_orderkey))::INT AS rank FROM orders GROUP BY 1")
 def value_facet_totals(spark, sf):
-    return counted(orders(spark, sf), "o_orderstatus")
+    return counted(orders(spark, sf), "o_orderstatus", rank=True)
 
 
 @query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS filtered, row_number() OVER (ORDER BY count(*) FILTER (WHERE o_orderstatus = 'F') DESC, count(*) DESC, min(o_orderkey))::INT AS rank FROM orders GROUP BY 1")
 def value_facet_own_exclusion(spark, sf):
-    return counted(orders(spark, sf), "o_orderpriority", STATUS_F)
+    return counted(orders(spark, sf), "o_orderpriority", STATUS_F, rank=True)
 
 
 @query("SELECT o_orderstatus, count(*) AS total, count(*) AS filtered, row_number() OVER (ORDER BY count(*) DESC, min(o_orderkey))::INT AS rank FROM orders GROUP BY 1")
 def value_facet_own_selection(spark, sf):
-    return counted(orders(spark, sf), "o_orderstatus", STATUS_F)
+    return counted(orders(spark, sf), "o_orderstatus", STATUS_F, rank=True)
 
 
 @query("SELECT l_returnflag, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'O' AND l_quantity < 10) AS filtered FROM lineitem GROUP BY 1")
 def value_facet_zero_counts(spark, sf):
     sel = Selections().with_("l_linestatus", "O").with_("l_quantity", RangeSelection((Interval(None, 10.0, False, True),)))
-    return counted(items(spark, sf), "l_returnflag", sel).drop("rank")
+    return counted(items(spark, sf), "l_returnflag", sel)
 
 
 @query("SELECT nullif(event_type, 'error') AS kind, count(*) AS total, count(*) AS filtered, row_number() OVER (ORDER BY count(*) DESC, nullif(event_type, 'error') IS NULL, min(event_id))::INT AS rank FROM events GROUP BY 1")
 def value_facet_nulls(spark, sf):
-    return counted(events(spark, sf, unit="day"), "kind")
+    return counted(events(spark, sf, unit="day"), "kind", rank=True)
 
 
 @query("SELECT arg_min(s, c_custkey) AS segment, count(*) AS total, count(*) AS filtered FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS s FROM customer) GROUP BY lower(s)")
 def value_facet_casefold(spark, sf):
-    return counted(people(spark, sf), "segment").drop("rank")
+    return counted(people(spark, sf), "segment")
 
 
 @query("SELECT CAST(o_totalprice > 100000 AS VARCHAR) AS expensive, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS filtered FROM orders GROUP BY 1")
 def boolean_facet_counts(spark, sf):
-    return counted(orders(spark, sf), "expensive", STATUS_F).drop("rank")
+    return counted(orders(spark, sf), "expensive", STATUS_F)
 
 
 @query("""WITH c AS (SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS filtered, min(l_orderkey * 8 + l_linenumber) AS f FROM lineitem GROUP BY 1),
@@ -142,7 +143,7 @@ def facet_top_n_other(spark, sf):
 
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS l_suppkey, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS filtered, row_number() OVER (ORDER BY count(*) DESC, count(*) FILTER (WHERE l_returnflag = 'R') DESC, min(l_orderkey * 8 + l_linenumber))::INT AS rank FROM lineitem GROUP BY 1")
 def facet_rank_by_total(spark, sf):
-    return counted(items(spark, sf, rank="total"), "l_suppkey", Selections().with_("l_returnflag", "R"))
+    return counted(items(spark, sf, rank="total"), "l_suppkey", Selections().with_("l_returnflag", "R"), rank=True)
 
 
 @query("SELECT p_name AS value, count(*) AS total FROM part WHERE contains(lower(p_name), 'a') GROUP BY lower(p_name), p_name ORDER BY count(*) DESC, min(p_partkey) LIMIT 15")
@@ -152,7 +153,7 @@ def facet_search(spark, sf):
 
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS nation, any_value(n_name) AS label, count(*) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def facet_labels(spark, sf):
-    return people(spark, sf).facet_counts("c_nationkey").select(F.col("value").alias("nation"), "label", "total")
+    return people(spark, sf).facet_counts("c_nationkey", ranked_too=False).select(F.col("value").alias("nation"), "label", "total")
 
 
 @query("SELECT r_name AS grp, count(*) AS total, count(*) AS filtered FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -163,34 +164,43 @@ def facet_groups(spark, sf):
 @query("SELECT w AS words, count(*) AS total, count(*) AS filtered FROM (SELECT unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part) GROUP BY 1")
 def multi_value_counts(spark, sf):
     d = parts(spark, sf)
-    return d.facet_counts("words").select(F.lower("value").alias("words"), "total", "filtered")
+    return d.facet_counts("words", ranked_too=False).select(F.lower("value").alias("words"), "total", "filtered")
 
 
 @query("SELECT p_brand, count(*) AS total, count(*) FILTER (WHERE list_has_any(string_split(lower(p_name), ' '), (SELECT string_split(lower(p_name), ' ') FROM part ORDER BY p_partkey LIMIT 1))) AS filtered FROM part GROUP BY 1")
 def multi_value_any_filter(spark, sf):
     d = parts(spark, sf)
     first = d.df.orderBy("p_partkey").first()["p_name"].split(" ")
-    return counted(d, "p_brand", Selections().with_("words", *first)).drop("rank")
+    return counted(d, "p_brand", Selections().with_("words", *first))
 
 
 @query(f"SELECT CAST({BUCKET} AS VARCHAR) AS bucket, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS filtered FROM orders GROUP BY 1")
 def range_explicit_buckets(spark, sf):
-    return counted(orders(spark, sf), "o_totalprice", STATUS_F, "bucket").drop("rank")
+    return counted(orders(spark, sf), "o_totalprice", STATUS_F, "bucket")
 
 
 @query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (WHERE (o_totalprice >= 50000 AND o_totalprice < 100000) OR o_totalprice >= 150000) AS filtered FROM orders GROUP BY 1")
 def range_interval_selection(spark, sf):
-    return counted(orders(spark, sf), "o_orderpriority", RANGE).drop("rank")
+    return counted(orders(spark, sf), "o_orderpriority", RANGE)
 
 
 @query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value IS NULL OR value <= 10) AS filtered FROM (SELECT event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events) GROUP BY 1")
 def range_null_selection(spark, sf):
     rows = read(spark, sf, "events").withColumn("v", F.when(F.col("event_type") != "error", F.col("value")))
     d = DashboardBuilder(rows, "event_id").value("event_type").range("v", cuts=(10,)).build()
-    return counted(d, "event_type", Selections().with_("v", RangeSelection((Interval(None, 10.0),), True))).drop("rank")
-
-
-@query()
+    return counted(d, "event_type", Selections().with_("v", RangeSelection((Interval(None, 10.0),), True)))
+
+
+@query("""WITH v AS (SELECT l_extendedprice AS x, row_number() OVER () - 1 AS i FROM lineitem WHERE l_extendedprice IS NOT NULL),
+n AS (SELECT greatest(1, (count(*) + 99999) // 100000) AS stride, min(x) AS least, max(x) AS most FROM v),
+s AS (SELECT list_sort(list(x)) AS l FROM v, n WHERE i % stride = 0),
+b AS (SELECT l[floor(0.02 * (len(l) - 1))::BIGINT + 1] AS lo, l[ceil(0.98 * (len(l) - 1))::BIGINT + 1] AS hi FROM s),
+w AS (SELECT lo, hi, 10.0 ** floor(log10((hi - lo) / 10)) AS p, (hi - lo) / 10 AS raw FROM b),
+t AS (SELECT lo, hi, p * CASE WHEN raw / p >= sqrt(50) THEN 10 WHEN raw / p >= sqrt(10) THEN 5 WHEN raw / p >= sqrt(2) THEN 2 ELSE 1 END AS step FROM w),
+k AS (SELECT step, floor(lo / step)::BIGINT AS a, ceil(hi / step)::BIGINT AS z FROM t),
+e AS (SELECT unnest(range(a - 1, z + 1)) AS i, step, a, z FROM k),
+r AS (SELECT CASE WHEN i >= a THEN i * step END AS lo, CASE WHEN i < z THEN (i + 1) * step END AS hi, i = z - 1 AND (SELECT most FROM n) <= z * step AS closed FROM e, n WHERE (i >= a OR least < a * step) AND (i < z OR most > z * step))
+SELECT lo, hi, count(x) AS total FROM r LEFT JOIN v ON (lo IS NULL OR x >= lo) AND (hi IS NULL OR x < hi OR closed AND x <= hi) GROUP BY lo, hi""")
 def range_auto_buckets(spark, sf):
     d = DashboardBuilder(read(spark, sf, "lineitem").withColumn("line", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "line").range("l_extendedprice").build()
     rows = [(v.interval.lo, v.interval.hi, v.total) for v in d.calculate().facets["l_extendedprice"].values]
@@ -201,7 +211,7 @@ def _dates(unit):
     def run(spark, sf):
         rows = read(spark, sf, "orders")
         d = DashboardBuilder(rows, "o_orderkey").value("o_orderstatus").date("o_orderdate", unit=unit).build()
-        return counted(d, "o_orderdate", STATUS_F, "period").drop("rank")
+        return counted(d, "o_orderdate", STATUS_F, "period")
 
     run.__name__ = f"date_{unit}_buckets"
     return query(f"SELECT strftime(date_trunc('{unit}', o_orderdate), '%Y-%m-%d') AS period, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS filtered FROM orders GROUP BY 1")(run)
@@ -213,7 +223,7 @@ for _unit in ("day", "week", "month", "quarter", "year"):
 
 @query("SELECT strftime(date_trunc('day', timezone('Europe/Stockholm', timezone('UTC', ts))), '%Y-%m-%d') AS period, count(*) AS total, count(*) AS filtered FROM events GROUP BY 1")
 def date_zone_buckets(spark, sf):
-    return counted(events(spark, sf, "Europe/Stockholm", "day"), "ts", name="period").drop("rank")
+    return counted(events(spark, sf, "Europe/Stockholm", "day"), "ts", name="period")
 
 
 @query("SELECT 'day' AS unit, count(DISTINCT date_trunc('day', ts)) AS periods FROM events")
@@ -234,13 +244,13 @@ def date_presets(spark, sf):
 def date_selection(spark, sf):
     at = lambda d: datetime(2024, 1, d, tzinfo=timezone.utc)
     sel = Selections().with_("ts", DateSelection((Interval(at(10), at(20)),), ("today",)))
-    return counted(events(spark, sf, unit="day"), "kind", sel).drop("rank")
+    return counted(events(spark, sf, unit="day"), "kind", sel)
 
 
 @query("SELECT lang, count(*) AS total, count(*) FILTER (WHERE contains(lower(text), 'license')) AS filtered FROM documents GROUP BY 1")
 def text_facet(spark, sf):
     d = DashboardBuilder(read(spark, sf, "documents"), "doc_id").value("lang").text("find", lambda t: F.contains(F.lower("text"), F.lower(F.lit(t)))).build()
-    return counted(d, "lang", Selections().with_("find", TextSelection(" License "))).drop("rank")
+    return counted(d, "lang", Selections().with_("find", TextSelection(" License ")))
 
 
 @query("SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS revenue, round(avg(l_discount), 6) AS discount, min(l_quantity) AS least, max(l_quantity) AS most, count(DISTINCT l_suppkey) AS suppliers, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS n_share, round(sum(l_extendedprice) / (SELECT sum(l_extendedprice) FROM lineitem), 6) AS revenue_share FROM lineitem WHERE l_returnflag = 'R'")
@@ -258,12 +268,12 @@ def metric_calculated(spark, sf):
 
 @query("SELECT l_returnflag, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'O') AS filtered FROM lineitem WHERE l_quantity >= 20 GROUP BY 1")
 def scope_predicate(spark, sf):
-    return counted(items(spark, sf).scope(F.col("l_quantity") >= 20), "l_returnflag", Selections().with_("l_linestatus", "O")).drop("rank")
+    return counted(items(spark, sf).scope(F.col("l_quantity") >= 20), "l_returnflag", Selections().with_("l_linestatus", "O"))
 
 
 @query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (WHERE o_totalprice > 100000) AS filtered FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def scope_selections(spark, sf):
-    return counted(orders(spark, sf).scope(STATUS_F), "o_orderpriority", Selections().with_("expensive", True)).drop("rank")
+    return counted(orders(spark, sf).scope(STATUS_F), "o_orderpriority", Selections().with_("expensive", True))
 
 
 @query("SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
@@ -289,12 +299,12 @@ def query_no_rows(spark, sf):
 
 @query("SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, count(*) AS n FROM orders GROUP BY 1")
 def query_period_override(spark, sf):
-    return orders(spark, sf).query(Query((Dimension("o_orderdate", "quarter", alias="q"),), (Value(aggregation="count", alias="n"),))).df
+    return orders(spark, sf).query(Query((Dimension("o_orderdate", "quarter", alias="q"),), (Value(aggregation="count", alias="n"),))).df.select(F.col("q.start").alias("q"), "n")
 
 
 @query("SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS w, count(*) AS n FROM orders GROUP BY 1")
 def query_property_period(spark, sf):
-    return orders(spark, sf).query(Query((Dimension("o_orderdate", "week", True, "w"),), (Value(aggregation="count", alias="n"),))).df
+    return orders(spark, sf).query(Query((Dimension("o_orderdate", "week", True, "w"),), (Value(aggregation="count", alias="n"),))).df.select(F.col("w.start").alias("w"), "n")
 
 
 @query("SELECT lower(w) AS words, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part) GROUP BY 1")
@@ -314,7 +324,7 @@ def query_calculated_per_group(spark, sf):
 
 @query(f"SELECT {BUCKET} AS bucket, count(*) AS n FROM orders GROUP BY 1")
 def query_range_dim(spark, sf):
-    return orders(spark, sf).query(Query((Dimension("o_totalprice", alias="bucket"),), (Value(aggregation="count", alias="n"),))).df
+    return orders(spark, sf).query(Query((Dimension("o_totalprice", alias="bucket"),), (Value(aggregation="count", alias="n"),))).df.select(F.col("bucket.index").alias("bucket"), "n")
 
 
 @query("SELECT l_suppkey, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1 ORDER BY sum(l_extendedprice) DESC NULLS LAST, l_suppkey LIMIT 10")

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import json
 import re
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
+from decimal import Decimal
 from urllib.parse import parse_qsl, quote
 
+from pyspark.sql import functions as F
+
 from facetloom.errors import DashboardError
 from facetloom.functions.periods import PRESETS
 from facetloom.functions.selection import DateSelection, Interval, RangeSelection, Selections, TextSelection, ValueSelection
 from facetloom.functions.where import parse
-from facetloom.operators.query import Dimension, Order, Query, Value
+from facetloom.operators.query import Dimension, Order, Query, Value, selection_of
+
+
+#: The length of the half-open interval that holds one instant only.
+INSTANT = timedelta(microseconds=1)
 
 
 def instant_text(t: datetime) -> str:
@@ -34,12 +41,42 @@ def number_text(x: float) -> str:
     return str(int(x)) if float(x).is_integer() and abs(x) < 1e15 else repr(float(x))
 
 
+def value_text(f, v) -> str:
+    """A value as text, by the facet's own formatter if it has one."""
+    if f is not None and f.format is not None:
+        return f.format(v)
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return number_text(v)
+    if isinstance(v, datetime):
+        return instant_text(v) if v.tzinfo else v.isoformat()
+    return v.isoformat() if isinstance(v, date) else format(v, "f") if isinstance(v, Decimal) else str(v)
+
+
+def value_json(f, v):
+    """A value as JSON has it: text for what JSON has no form of, or for what the facet formats."""
+    if v is None or f is not None and f.format is None and isinstance(v, (bool, int, float, str)):
+        return v
+    if f is None and isinstance(v, (bool, int, float, str)):
+        return v
+    return float(v) if isinstance(v, Decimal) and (f is None or f.format is None) and Decimal(repr(float(v))) == v else value_text(f, v)
+
+
+def _read_value(f, x):
+    return f.coerced(f.parse(x)) if f.parse is not None and isinstance(x, str) else f.coerced(x)
+
+
+def _in_order(values) -> list:
+    return sorted((v for v in values if v is not None), key=lambda v: (str(type(v)), v))
+
+
 # -- JSON
 
 
-def selection_to_json(s) -> dict:
+def selection_to_json(s, f=None) -> dict:
     if isinstance(s, ValueSelection):
-        return {"values": sorted((v for v in s.values if v is not None), key=lambda v: (str(type(v)), v)) + [None] * (None in s.values)}
+        return {"values": [value_json(f, v) for v in _in_order(s.values)] + [None] * (None in s.values)}
     if isinstance(s, TextSelection):
         return {"text": s.text}
     one = instant_text if isinstance(s, DateSelection) else (lambda x: x)
@@ -62,8 +99,9 @@ def selection_to_json(s) -> dict:
     return out | ({"includeNull": True} if s.nulls else {})
 
 
-def to_json(selections: Selections) -> str:
-    return json.dumps({k: selection_to_json(s) for k, s in selections.items()}, ensure_ascii=False)
+def to_json(selections: Selections, dash=None) -> str:
+    """With ``dash``, values are written by the formatters of its facets."""
+    return json.dumps({k: selection_to_json(s, dash and dash.facets.get(k)) for k, s in selections.items()}, ensure_ascii=False)
 
 
 def _selection(dash, key: str, data: dict, strict: bool):
@@ -105,23 +143,19 @@ def _float(x):
 def _value(dash, f, v, strict: bool):
     """Strictly read, a label may stand for its value; a value wins over a label, and a label of several is an error."""
     if not strict or not isinstance(v, str):
-        return f.coerced(v)
-    i = list(dash.facets).index(f.key)
-    known = dash.dictionary.where(dash.dictionary["facet"] == i)
-    rows = [r for r in known.where((known["value"].isNotNull()) & ((_lower(known["value"]) == v.lower()) | (_lower(known["label"]) == v.lower()))).limit(3).collect()]
-    if any((r["value"] or "").lower() == v.lower() for r in rows) or not rows:
-        return f.coerced(v)
+        return _read_value(f, v)
+    try:
+        value = _read_value(f, v)
+    except DashboardError:
+        value = None
+    known = dash.dictionary(f.key).where(F.col("key").isNotNull())
+    same = F.coalesce(F.col("key").isin(f.wanted([value])), F.lit(False)) if value is not None else F.lit(False)
+    rows = known.where(same | F.coalesce(F.lower("label") == v.lower(), F.lit(False))).select("value", same.alias("same")).limit(3).collect()
+    if any(r["same"] for r in rows) or not rows:
+        return _read_value(f, v)
     if len(rows) > 1:
         raise DashboardError(f"several values are labelled {v}", f"selections.{f.key}")
-    from facetloom.operators.dashboard import _typed
-
-    return _typed(f, rows[0]["value"])
-
-
-def _lower(c):
-    from pyspark.sql import functions as F
-
-    return F.lower(c)
+    return f.typed(rows[0]["value"])
 
 
 def _unique(pairs):
@@ -149,8 +183,8 @@ def from_json(dash, text: str, strict: bool = False) -> Selections:
 # -- query strings
 
 
-def _escaped(v) -> str:
-    text = ("true" if v else "false") if isinstance(v, bool) else number_text(v) if isinstance(v, (int, float)) else str(v)
+def _escaped(f, v) -> str:
+    text = value_text(f, v)
     if text == "":
         return '""'
     return "\\null" if text == "null" else text.replace("\\", "\\\\").replace(",", "\\,")
@@ -163,11 +197,11 @@ def _interval_text(i: Interval, one) -> str:
     return f"{'(' if i.lo_open else '['}{body}{')' if i.hi_open else ']'}" if i.lo_open or i.hi_open else body
 
 
-def selection_to_query(s) -> str:
+def selection_to_query(s, f=None) -> str:
     if isinstance(s, TextSelection):
         return s.text
     if isinstance(s, ValueSelection):
-        return ",".join([_escaped(v) for v in sorted((v for v in s.values if v is not None), key=lambda v: (str(type(v)), v))] + ["null"] * (None in s.values))
+        return ",".join([_escaped(f, v) for v in _in_order(s.values)] + ["null"] * (None in s.values))
     if isinstance(s, DateSelection):
         parts = [f"{'' if i.lo is None else instant_text(i.lo)}..{'' if i.hi is None else instant_text(i.hi)}" for i in s.intervals] + list(s.presets)
     else:
@@ -175,9 +209,9 @@ def selection_to_query(s) -> str:
     return ",".join(parts + ["null"] * s.nulls)
 
 
-def to_query_string(selections: Selections, prefix: str = "", keep: str = "") -> str:
-    """``keep``: an existing query string; its other parameters stay."""
-    own = [f"{quote(prefix + k, safe='')}={quote(selection_to_query(s), safe='.,:')}" for k, s in selections.items()]
+def to_query_string(selections: Selections, prefix: str = "", keep: str = "", dash=None) -> str:
+    """``keep``: an existing query string; its other parameters stay. With ``dash``, its facets' formatters write values."""
+    own = [f"{quote(prefix + k, safe='')}={quote(selection_to_query(s, dash and dash.facets.get(k)), safe='.,:')}" for k, s in selections.items()]
     others = [f"{quote(k, safe='')}={quote(v, safe='.,:')}" for k, v in parse_qsl(keep.lstrip("?"), keep_blank_values=True) if not (prefix and k.startswith(prefix))]
     return "&".join(others + own)
 
@@ -231,8 +265,8 @@ def _from_query(dash, key: str, value: str, strict: bool):
         lo_open, hi_open = t.startswith("("), t.endswith(")")
         body = t.strip("[]()")
         lo, dots, hi = body.partition("..")
-        if not dots:
-            spans.append(Interval(one(lo), one(lo)))
+        if not dots:  # a number alone is that value, an instant alone is that moment
+            spans.append(Interval(one(lo), one(lo)) if f.kind == "range" else Interval(one(lo), one(lo) + INSTANT, False, True))
         else:
             spans.append(Interval(one(lo) if lo else None, one(hi) if hi else None, lo_open, hi_open or f.kind == "date" and bool(hi)))
     nulls = "null" in tokens
@@ -245,7 +279,7 @@ _SHORT = {"avg": "average", "sum": "sum", "average": "average", "min": "min", "m
 PARTS = ("selections", "where", "groupBy", "values", "columns", "orderBy", "take")
 
 
-def query_from_json(dash, text: str, allowed: set[str] | None = None) -> Query:
+def query_from_json(dash, text: str, allowed: set[str] | None = None, parser=parse) -> Query:
     """Short forms: ``"OrderDate:Month"``, ``"avg:Amount"``, ``"-Revenue"``. ``allowed``: the names that may be asked for."""
     data = json.loads(text, object_pairs_hook=_unique) if isinstance(text, str) else text
     for part in data:
@@ -289,35 +323,43 @@ def query_from_json(dash, text: str, allowed: set[str] | None = None) -> Query:
         tuple(value(v, f"values[{i}]") for i, v in enumerate(data.get("values", []))),
         tuple(dimension(d, f"columns[{i}]") for i, d in enumerate(data.get("columns", []))),
         selections,
-        parse(data["where"], types) if data.get("where") else None,
+        parser(data["where"], types) if data.get("where") else None,
         order,
         data.get("take"),
     )
 
 
 def result_to_json(dash, result) -> dict:
-    """Header, rows, total and cut. Intervals stand in URL notation, labelled values as {value, label}."""
-    from facetloom.operators.dashboard import bucket_interval
-
-    labels: dict[str, dict] = {}
-    for c in result.columns:
-        if c.role == "dimension" and c.kind == "value" and c.source in dash.facets and dash.facets[c.source].label is not None:
-            i = list(dash.facets).index(c.source)
-            labels[c.key] = {r["value"]: r["label"] for r in dash.dictionary.where(dash.dictionary["facet"] == i).limit(10_000).collect()}
-
-    def cell(c, v):
+    """Header, rows, total and cut. Intervals stand in URL notation, periods as their first day, labelled values as
+    {value, label}; labels are looked up for the values of the answer."""
+    rows = result.collect()
+    labels: dict[int, dict] = {}
+    for i, c in enumerate(result.columns):
+        f = dash.facets.get(c.source)
+        if c.kind == "value" and c.role != "value" and f is not None and f.valued and f.label is not None:
+            standing = {x for r in rows for x in (r[i] if isinstance(r[i], list) else [r[i]]) if x is not None}
+            labels[i] = {_same(f, v): label for v, label in dash.labels(c.source, standing).values() if label is not None}
+
+    def cell(i, c, v):
         if v is None:
             return None
+        if isinstance(v, list):
+            return [cell(i, c, x) for x in v]
         if c.kind == "interval":
-            return _interval_text(bucket_interval(dash.facets[c.source], v), number_text)
-        if c.kind in ("period", "date"):
-            return str(v)[:10]
-        if isinstance(v, datetime):
-            return instant_text(v if v.tzinfo else v.replace(tzinfo=timezone.utc))
-        if labels.get(c.key, {}).get(str(v)) is not None:
-            return {"value": v, "label": labels[c.key][str(v)]}
-        return v
+            return _interval_text(selection_of(c, v), number_text)
+        if c.kind == "period":
+            return v["start"].isoformat()
+        f = dash.facets.get(c.source) if c.role != "value" and c.kind == "value" else None
+        label = labels[i].get(_same(f, v)) if i in labels else None
+        if isinstance(v, datetime) and not v.tzinfo and dict(result.df.dtypes).get(c.key) == "timestamp":
+            v = v.astimezone(timezone.utc)
+        shown = value_json(f, v)
+        return {"value": shown, "label": label} if label is not None else shown
 
     header = [{k: v for k, v in vars(c).items() if v is not None} for c in result.columns]
-    rows = [[cell(c, v) for c, v in zip(result.columns, r)] for r in result.df.collect()]
-    return {"columns": header, "rows": rows, "total": result.total, "cut": result.is_cut}
+    found = [[cell(i, c, v) for i, (c, v) in enumerate(zip(result.columns, r))] for r in rows]
+    return {"columns": header, "rows": found, "total": result.total, "cut": result.is_cut}
+
+
+def _same(f, v):
+    return v.lower() if isinstance(v, str) and (f is None or f.fold is None) else v

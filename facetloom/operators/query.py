@@ -19,6 +19,8 @@ from facetloom.operators.dashboard import bucket_interval
 from facetloom.operators.facets import NUMERIC, aggregated, is_text, number
 
 ROWS_DEFAULT, ROWS_MOST = 100, 10_000
+#: Types that an aggregation buffer updates in place.
+FIXED = (*NUMERIC, "boolean", "date", "timestamp", "timestamp_ntz")
 
 
 @dataclass(frozen=True)
@@ -274,9 +276,18 @@ def _groups(dash, q: Query, rows: DataFrame) -> QueryResult:
         infos.append(ColumnInfo(v.key, "value", "number", v.name, v.aggregation or metrics[v.name].aggregation))
     need = [m for m in dash.metrics if m.aggregation != "calculated"] if later else []
     aggs += [m.aggregate().alias(f"__m_{m.key}") for m in need]
-    # what a group shows is read from its first row, unless it is made from the group's key
-    shown = [F.min_by(f"__s{i}", RID).alias(f"__o{i}") for i, info in enumerate(infos[: len(dims)]) if info.kind not in ("interval", "period")]
-    made = rows.groupBy(*names).agg(F.min(RID).alias("__first"), *shown, *aggs) if names else rows.agg(F.min(RID).alias("__first"), *aggs)
+    # what a group shows is read from its first row, unless it is made from the group's key. Texts are looked up among
+    # the groups' spellings: a text in an aggregation buffer would have all rows sorted
+    read = [i for i, info in enumerate(infos[: len(dims)]) if info.kind not in ("interval", "period")]
+    kinds = dict(rows.dtypes)
+    fixed = [F.min_by(f"__s{i}", RID).alias(f"__o{i}") for i in read if kinds[f"__s{i}"] in FIXED]
+    spelled = [i for i in read if kinds[f"__s{i}"] not in FIXED]
+    made = rows.groupBy(*names).agg(F.min(RID).alias("__first"), *fixed, *aggs) if names else rows.agg(F.min(RID).alias("__first"), *aggs)
+    if spelled:
+        texts = [f"__s{i}" for i in spelled]
+        first = rows.groupBy(*names, *texts).agg(F.min(RID).alias("__r")).groupBy(*names).agg(F.min_by(F.struct(*texts), "__r").alias("__t"))
+        first = first.select(*[F.col(n).alias(f"{n}t") for n in names], *[F.col(f"__t.__s{i}").alias(f"__o{i}") for i in spelled])
+        made = made.join(first, [F.col(n).eqNullSafe(F.col(f"{n}t")) for n in names], "left").drop(*[f"{n}t" for n in names])
     for key, what in sides:
         side = rows.select(*names, F.explode(what).alias("__x")).groupBy(*names).agg(F.nullif(F.count_distinct("__x"), F.lit(0)).alias(key)) if names else rows.select(F.explode(what).alias("__x")).agg(F.nullif(F.count_distinct("__x"), F.lit(0)).alias(key))
         side = side.select(*[F.col(n).alias(f"{n}r") for n in names], key)

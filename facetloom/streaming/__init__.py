@@ -1 +1 @@
-
+"""Dashboards over growing tables."""

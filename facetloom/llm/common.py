@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+#: Folders of the ``stored`` tables that no ``Scratch`` has taken over.
+_MADE: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark's own reader (any store Spark can open)."""
@@ -30,18 +34,66 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     executor costs no recomputation of what stands before."""
     spark = df.sparkSession
     path = scratch_dir(spark)
+    _MADE.append(path)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that no later step reads."""
-    spark = df.sparkSession
-    jvm, files = spark.sparkContext._jvm, df.inputFiles()
-    for folder in {f.rpartition("/")[0] for f in files}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if "facetloom-" in folder:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder_of(df: DataFrame) -> set[str]:
+    """The folders of ``stored`` tables that ``df`` reads, however deep."""
+    return {f"facetloom-{f.partition('facetloom-')[2].partition('/')[0]}" for f in df.inputFiles() if "facetloom-" in f}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that no later step reads."""
+    for df in tables:
+        for name in _folder_of(df):
+            for path in [p for p in _MADE if p.endswith(name)]:
+                _delete(df.sparkSession, path)
+                _MADE.remove(path)
+
+
+class Scratch:
+    """Deletes, at its end, the tables that were ``stored`` inside it, but for those that what was kept still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept |= _folder_of(df)
+        return df
+
+    def __enter__(self):
+        self.first = len(_MADE)
+        return self
+
+    def __exit__(self, *failure):
+        for path in _MADE[self.first :]:
+            if failure[0] is None and not path.endswith(tuple(self.kept or "\0")):
+                _delete(self.spark, path)
+                _MADE.remove(path)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, rows_per_task: int = 2_000, most_keys: int = 1_000) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (a row per ``key``), where a few keys may hold most rows of ``many``.
+
+    Keys with more than ``rows_per_task`` rows, and than a ``most_keys``-th of all, are dealt to several tasks: their row
+    of ``one`` is repeated for each. There are at most ``most_keys`` of them, so that their list can be broadcast.
+    """
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_task)
+    total = counts.agg(F.sum("__n")).first()[0]
+    if not total:
+        return many.join(one, key)
+    limit = max(rows_per_task, total // most_keys)
+    hot = F.broadcast(counts.where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
+    salted = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != key] or [key]), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    repeated = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return salted.join(repeated, [key, "__salt"]).drop("__salt")
 
 
 def let(value: Column, body) -> Column:
@@ -49,6 +101,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; texts of ASCII alone take the faster way."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -6,12 +6,15 @@ goes to its siblings by their weights. Since a node is never given more than all
 made up among siblings first and reaches the ancestors' siblings only as far as they can't. A leaf takes whole epochs, then a prefix of one more,
 in the order of ``md5(seed:epoch:doc_id)``, as far as its tokens last.
 
-The prefix is found in two steps: sums over the first three hex digits of the key, then a running sum inside the
-one bucket where the budget ends. A leaf's cut is one key, so rows are chosen map-side without moving a text.
+The prefix is found digit by digit: of each leaf, sums over the next two hex digits of the key tell the bucket where the
+budget ends, and only that bucket's rows are looked at again. After ``ROUNDS`` of it a bucket holds a 256 ** ROUNDS-th of
+its leaf, and a running sum over its rows gives the last key. A leaf's cut is one key, so rows are chosen map-side without
+moving a text, and no window holds more than 256 sums or that last bucket, however large a leaf is.
 
 Defined results: null metadata counts as an empty string; null texts have no tokens and are chosen with the rows
 before them in the order; rows with equal keys (repeated rows) are taken together; an empty table gives an empty
-result; other columns pass through ``choose``.
+result; a weight of 0 (or less) gives a node nothing, unless all its siblings weigh nothing, when they share alike. Other
+columns pass through ``choose``; its own columns are named ``mix_...`` where the table has one of the same name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import stored, table, text_of
+from facetloom.llm.common import Scratch, forget, stored, table, text_of
 from facetloom.llm.quality_rules import n_words, words
 
 LEVELS = ["domain", "language", "origin"]
@@ -28,6 +31,7 @@ WEIGHTS = {"domain": {"web": 0.4, "books": 0.3, "code": 0.2, "reference": 0.1},
 OTHER_WEIGHT = 0.05
 SHARE, MAX_EPOCHS, SEED = 0.6, 2, "mix-1"
 BROADCAST_LEAVES = 5_000
+ROUNDS = 3
 
 
 def default_levels() -> dict[str, Column]:
@@ -47,9 +51,9 @@ class SourceMixer:
         return docs.select("*", *[levels[n].alias(f"__{n}") for n in LEVELS])
 
     def _weight(self, level: str) -> Column:
-        w = F.lit(OTHER_WEIGHT)
+        w = F.lit(float(OTHER_WEIGHT))
         for value, weight in self.weights.get(level, {}).items():
-            w = F.when(F.col(level) == value, weight).otherwise(w)
+            w = F.when(F.col(level) == value, float(max(weight, 0))).otherwise(w)
         return w
 
     def budgets(self, leaves: DataFrame) -> DataFrame:
@@ -60,6 +64,9 @@ class SourceMixer:
         for depth, level in enumerate(LEVELS):
             keys = LEVELS[: depth + 1]
             nodes = leaves.groupBy(*keys).agg((F.sum("tokens") * self.max_epochs).cast("double").alias("cap")).withColumn("w", self._weight(level))
+            # nodes without weight get nothing: they can take nothing
+            weighs = F.max("w").over(Window.partitionBy(*parents)) > 0
+            nodes = nodes.withColumn("weighs", weighs).withColumn("cap", F.when(F.col("weighs") & (F.col("w") == 0), 0.0).otherwise(F.col("cap"))).withColumn("w", F.when(F.col("w") == 0, 1.0).otherwise(F.col("w")))
             nodes = nodes.join(given, parents) if parents else nodes.join(F.broadcast(given))
             order = Window.partitionBy(*parents).orderBy(F.col("cap") / F.col("w"), level)
             full = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -79,29 +86,42 @@ class SourceMixer:
         """``rows``: levels, id and n_tokens. Per leaf: whole epochs, and the last key of one epoch more (null: none)."""
         leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
         plan = stored(self.budgets(leaves).withColumn("whole", F.when(F.col("tokens") == 0, 0).otherwise(F.floor(F.col("budget") / F.col("tokens")))).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")))
-        keyed = rows.join(self._small(plan), LEVELS).select(*LEVELS, "n_tokens", "rest", self._key(F.col("whole"), id_column).alias("key")).withColumn("bucket", F.substring("key", 1, 3))
-        sums = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-        running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-        edge = running.where(F.col("upto") > F.col("rest")).groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select(*LEVELS, F.col("e.bucket").alias("bucket"), F.col("e.before").alias("before"))
-        inside = keyed.join(self._small(edge), [*LEVELS, "bucket"])
-        upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key"))
+        # (levels, begins, rest): the part of the keys where a leaf's budget ends, and what is left of it there
+        edge = plan.select(*LEVELS, F.lit("").alias("begins"), "rest")
+        keyed = rows.join(self._small(plan.select(*LEVELS, "whole")), LEVELS).select(*LEVELS, "n_tokens", self._key(F.col("whole"), id_column).alias("key"))
+        order = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        for done in range(ROUNDS):
+            inside = keyed.join(self._small(edge), LEVELS).where(F.col("key").startswith(F.col("begins")))
+            sums = inside.groupBy(*LEVELS, "rest", F.substring("key", 1, 2 * done + 2).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+            running = sums.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") > F.col("rest"))
+            first = running.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))).alias("e"))
+            before, edge = edge, stored(first.select(*LEVELS, F.col("e.bucket").alias("begins"), F.col("e.rest").alias("rest")))
+            if done:
+                forget(before)
+        inside = keyed.join(self._small(edge), LEVELS).where(F.col("key").startswith(F.col("begins")))
+        upto = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key"))
         last = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy(*LEVELS).agg(F.max("key").alias("last"))
-        found = plan.select(*LEVELS, F.col("whole").cast("int").alias("whole")).join(edge.select(*LEVELS, "bucket"), LEVELS, "left").join(last, LEVELS, "left")
+        found = plan.select(*LEVELS, F.col("whole").cast("int").alias("whole")).join(edge.select(*LEVELS, "begins"), LEVELS, "left").join(last, LEVELS, "left")
         # without an edge every row fits; without a row in the edge's bucket all buckets before it fit
-        return found.select(*LEVELS, "whole", F.coalesce("last", "bucket", F.lit("~")).alias("last"))
+        return found.select(*LEVELS, "whole", F.coalesce("last", "begins", F.lit("~")).alias("last"))
 
     def _small(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_LEAVES else df
 
     def choose(self, docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-        """The chosen rows of ``docs``, once per epoch, with n_tokens, the levels, and epoch (from 0)."""
-        narrow = self._leveled(docs).select(F.col(id_column).alias("id"), *[F.col(f"__{n}").alias(n) for n in LEVELS], n_words(words(text_of(text))).alias("n_tokens"))
-        cuts = stored(self.cuts(stored(narrow), "id"))
-        leveled = self._leveled(docs)
-        on = [F.col(f"__{n}") == F.col(n) for n in LEVELS]
-        joined = leveled.join(self._small(cuts), on)
-        partial = F.when(self._key(F.col("whole"), id_column) <= F.col("last"), F.col("whole") + 1).otherwise(F.col("whole"))
-        return joined.withColumn("__times", partial).where("__times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).select(*docs.columns, *LEVELS, "epoch")
+        """The chosen rows of ``docs``, once per epoch, with the levels (domain, language, origin) and epoch (from 0)."""
+        narrow = stored(self._leveled(docs).select(F.col(id_column).alias("id"), *[F.col(f"__{n}").alias(n) for n in LEVELS], n_words(words(text_of(text))).alias("n_tokens")))
+        with Scratch(docs.sparkSession) as made:
+            cuts = made.keep(stored(self.cuts(narrow, "id")))
+        forget(narrow)
+        taken = {c.lower() for c in docs.columns}
+        own = {n: f"mix_{n}" if n in taken else n for n in [*LEVELS, "epoch"]}
+        found = cuts.select(*[F.col(n).alias(f"__of_{n}") for n in LEVELS], F.col("whole").alias("__whole"), F.col("last").alias("__last"))
+        joined = self._leveled(docs).join(self._small(found), [F.col(f"__{n}") == F.col(f"__of_{n}") for n in LEVELS])
+        whole = F.col("__whole")
+        partial = F.when(self._key(whole, id_column) <= F.col("__last"), whole + 1).otherwise(whole)
+        chosen = joined.withColumn("__times", partial).where("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+        return chosen.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__{n}").alias(own[n]) for n in LEVELS], F.col("__epoch").alias(own["epoch"]))
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ A sentence's probability is a logistic function of the words and word beginnings
 goes to the sentences that explain it. Sentences with a probability of at least ``LOCATE`` are the offending ones.
 
 Fitted on a bounded sample of labelled rows (at most ``MAX_POSITIVE`` toxic and ``MAX_NEGATIVE`` other ones, the
-first by hash of the id); its vocabulary are the ``VOCABULARY`` features that tell the labels apart best. Scoring
+first by hash of the id, and of each kind at most ``MAX_BYTES`` of whole texts); its vocabulary are the ``VOCABULARY`` features that tell the labels apart best. Scoring
 covers every row and whole texts, and reads nothing but the text.
 
 Defined results: a null or empty text has no sentence and scores 0; null labels are left out of training; of
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from facetloom.llm.common import table, text_of
 
 MAX_POSITIVE, MAX_NEGATIVE, VOCABULARY, MIN_TEXTS = 2_500, 5_000, 2_048, 4
+MAX_BYTES = 64_000_000
 PREFIXES, CACHE_WORDS = (3, 4, 5, 6), 300_000
 STEPS, L2, RATE = 400, 2e-4, 0.1
 PREDICT, LOCATE = 0.7, 0.5
@@ -35,6 +36,12 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def lowered(text: str) -> str:
+    """Lower case in which every character keeps its place: one whose lower case is longer stays as it is."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
@@ -67,11 +74,11 @@ class NoisyOr:
         toxic_with: Counter = Counter()
         for t, label in zip(texts, labels):
             if label:
-                toxic_with.update({f for w in set(_WORD.findall(t.lower())) for f in features(w)})
+                toxic_with.update({f for w in set(_WORD.findall(lowered(t))) for f in features(w)})
         toxic_with = Counter({f: n for f, n in toxic_with.items() if n >= MIN_TEXTS})
         with_word: Counter = Counter()
         for t in texts:
-            with_word.update({f for w in set(_WORD.findall(t.lower())) for f in features(w) if f in toxic_with})
+            with_word.update({f for w in set(_WORD.findall(lowered(t))) for f in features(w) if f in toxic_with})
         share = y.mean()
 
         def telling(w):  # chi-square of word and label, signed
@@ -82,7 +89,7 @@ class NoisyOr:
         index = {w: i for i, w in enumerate(words)}
         row, col, owner = [], [], []
         for b, t in enumerate(texts):
-            for s in _SENTENCE.findall(t.lower()):
+            for s in _SENTENCE.findall(lowered(t)):
                 known = sorted({index[f] for w in _WORD.findall(s) for f in features(w) if f in index})
                 row += [len(owner)] * len(known)
                 col += known
@@ -104,7 +111,7 @@ class NoisyOr:
         return self
 
     def sentences(self, text: str):
-        lower = text.lower() if len(text.lower()) == len(text) else text
+        lower = lowered(text)
         if self.hits is None:
             self.hits = _Hits(self.weights)
         for m in _SENTENCE.finditer(lower):
@@ -123,15 +130,24 @@ class NoisyOr:
 
 
 class ToxicityModel:
-    def __init__(self, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE):
-        self.limits, self.model = {1: max_positive, 0: max_negative}, NoisyOr()
+    def __init__(self, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_bytes: int = MAX_BYTES):
+        self.limits, self.max_bytes, self.model = {1: max_positive, 0: max_negative}, max_bytes, NoisyOr()
 
     def fit(self, docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "toxic") -> "ToxicityModel":
         """``labels`` are the rows to learn from (hold others out before)."""
         known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label).alias("y"))
         first = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in self.limits.items()]
         chosen = F.broadcast(first[0].unionByName(first[1]))  # at most max_positive + max_negative ids
-        rows = docs.select(F.col(id_column).alias("id"), text_of(text).alias("t")).join(chosen, "id").dropDuplicates(["id"]).select("id", "t", "y").toPandas().sort_values("id")
+        texts = docs.select(F.col(id_column).alias("id"), text_of(text).alias("t"))
+        sizes = texts.join(chosen, "id").groupBy("id", "y").agg(F.max(F.octet_length("t")).alias("bytes"), F.min(F.xxhash64("t")).alias("h")).orderBy(F.xxhash64("id"), "id").collect()
+        left, fit = dict.fromkeys(self.limits, self.max_bytes), []
+        for r in sizes:  # a text that doesn't fit any more is left out of the sample, whole
+            if r["bytes"] <= left[r["y"]]:
+                left[r["y"]] -= r["bytes"]
+                fit.append((r["id"], r["h"], int(r["y"])))
+        kind = docs.schema[id_column].dataType.simpleString()
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(fit, f"id {kind}, h long, y int"))
+        rows = texts.withColumn("h", F.xxhash64("t")).join(wanted, ["id", "h"]).dropDuplicates(["id"]).select("id", "t", "y").toPandas().sort_values("id")
         self.model.fit(rows["t"].tolist(), rows["y"].astype(int).tolist())
         return self
 

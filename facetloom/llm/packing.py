@@ -61,9 +61,17 @@ def load(path: str):
 class _Words(dict):
     """' word' -> its ids as little-endian uint32 bytes. None: white space at an end, so not encoded apart."""
 
-    def __init__(self, encode):
+    def __init__(self, path: str):
         super().__init__()
-        self.encode = encode
+        self.path, self.encode = path, load(path).encode
+
+    def library(self, text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word):
         if len(self) >= CACHE_WORDS:
@@ -73,7 +81,11 @@ class _Words(dict):
         return found
 
     def packed(self, text: str) -> bytes:
-        return np.asarray(self.encode(text, allowed_special="all"), "<u4").tobytes()
+        try:
+            ids = self.encode(text, allowed_special="all")
+        except ValueError:  # its pattern gives up on very long white space, which the library's doesn't
+            ids = self.library(text)
+        return np.asarray(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """A space between two other characters always begins a pre-token, so words can be encoded one by one."""
@@ -89,7 +101,7 @@ _WORKER: dict = {}
 
 def _words(path: str) -> _Words:
     if path not in _WORKER:
-        _WORKER[path] = _Words(load(path).encode)
+        _WORKER[path] = _Words(path)
     return _WORKER[path]
 
 

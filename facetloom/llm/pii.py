@@ -1,21 +1,31 @@
-"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms around them.
+"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers. Corpus co-occurrence
-estimates how strongly a term reveals one: P(entity | term), the share of the term's occurrences that stand within
-``WINDOW`` words of an entity, and the information gain log2(P(entity | term) / P(entity)). Terms over both thresholds are spans of kind ``term``
-wherever they stand, with ``everywhere``, else beside an entity; ``sanitised`` generalises entities and such terms to their kind, and
-removes terms that reveal an entity almost surely.
+estimates how strongly a term reveals one, in two ways:
 
-Both counts are exact and cover every text; a term with ``MIN_SUPPORT`` words beside entities is a candidate, whatever
-the size of the corpus. Where more than ``MAX_TERMS`` terms disclose, they are not broadcast but joined to the texts' words.
+* beside: P(entity | term), the share of the term's occurrences that stand within ``WINDOW`` words of an entity of any
+  kind on its line, and the information gain log2(P(entity | term) / P(entity)). Terms over both thresholds disclose.
+* in documents (with ``everywhere``): with c a kind of entity, t a whole word outside entities, and probabilities the
+  shares of all texts that hold them, PMI(c; t) = log2(P(c | t) / P(c)) is the information that t gives about c, and
+  IC(c) = -log2 P(c) what there is to know. A term that gives at least ``SHARE`` of it, and ``GAIN_BITS``, discloses.
+  So that copies of a text prove nothing, it must stand with ``MIN_SUPPORT`` different entities of the kind.
+
+Disclosing terms are spans of kind ``term`` wherever they stand, with ``everywhere``, else beside an entity; ``sanitised``
+generalises entities and such terms to their kind, and removes terms that reveal an entity almost surely.
+
+All counts are exact and cover every text; a term with ``MIN_SUPPORT`` words beside entities, or texts with a kind, is a
+candidate, whatever the size of the corpus. Where more than ``MAX_TERMS`` terms disclose, they are not broadcast but joined to
+the texts' words.
 
 Defined results: a null text counts as empty and has no spans (``sanitised`` keeps it null); repeated rows each
-get a row; an empty table gives an empty result; other columns are ignored or pass through ``sanitised``.
+get a row; an empty table gives an empty result; other columns are ignored or pass through ``sanitised``; columns named
+``__terms`` or ``__row`` are not allowed.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
@@ -27,7 +37,7 @@ from facetloom.llm.common import stored, table, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, MIN_SUPPORT, MAX_TERMS, SALTS = 3, 20, 50_000, 16
-LIKELY, SURE, GAIN_BITS = 0.5, 0.9, 3.0
+LIKELY, SURE, GAIN_BITS, SHARE = 0.5, 0.9, 3.0, 0.5
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -35,6 +45,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
+_WHOLE = re.compile(r"(?<!\w)[^\W\d_]{2,}(?!\w)")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -96,7 +107,7 @@ def entities(text: str) -> list[tuple[str, int, int]]:
 
 
 def _outside(words, spans) -> list:
-    """Those of ``words`` (matches) that overlap no span."""
+    """Those of ``words`` (matches) that overlap no span, in their order."""
     ends: list[int] = []
     starts: list[int] = []
     for _, a, b in sorted(spans, key=lambda s: s[1]):
@@ -124,6 +135,11 @@ def context(text: str, spans, window: int = WINDOW) -> list[tuple[str, int, int]
     return [(m.group().lower(), m.start(), m.end()) for m in _outside([out[k] for k in sorted(out)], spans)]
 
 
+def whole_words(text: str, spans) -> set[str]:
+    """The different words of letters alone that stand outside all spans."""
+    return {m.group().lower() for m in _outside(_WHOLE.finditer(text), spans)}
+
+
 def _count(docs: DataFrame, text: str, of) -> DataFrame:
     """Sums of ``of(text)``, a mapping of terms, over all rows; each task sends a term once per 200,000 terms."""
 
@@ -143,41 +159,58 @@ def _count(docs: DataFrame, text: str, of) -> DataFrame:
 
 
 class Sanitiser:
-    def __init__(self, window: int = WINDOW, min_support: int = MIN_SUPPORT, max_terms: int = MAX_TERMS, likely: float = LIKELY, sure: float = SURE, gain_bits: float = GAIN_BITS, everywhere: bool = False):
+    def __init__(self, window: int = WINDOW, min_support: int = MIN_SUPPORT, max_terms: int = MAX_TERMS, likely: float = LIKELY, sure: float = SURE, gain_bits: float = GAIN_BITS, share: float = SHARE, everywhere: bool = False):
         self.window, self.min_support, self.max_terms = window, min_support, max_terms
-        self.likely, self.sure, self.gain_bits, self.everywhere = likely, sure, gain_bits, everywhere
+        self.likely, self.sure, self.gain_bits, self.share, self.everywhere = likely, sure, gain_bits, share, everywhere
         self.terms: dict[str, float] = {}
         self.table: DataFrame | None = None  # (term, p) instead of ``terms``, where those are more than max_terms
 
     def fit(self, docs: DataFrame, text: str = "text") -> "Sanitiser":
-        """Count terms beside entities and everywhere; keep the disclosing ones."""
-        window = self.window
+        """Count terms beside entities, in texts with entities, and everywhere; keep the disclosing ones."""
+        window, in_texts = self.window, self.everywhere
 
-        def beside(t, seen):
+        # keys: "term" beside an entity; "kind\\nterm" a text with both; "kind\\n" a text with the kind; "\\n" a text
+        def with_entities(t, seen):
+            seen["\n"] += 1
             spans = entities(t)
             if spans:
                 seen.update(w for w, _, _ in context(t, spans, window))
+                if in_texts:
+                    words = whole_words(t, spans)
+                    for kind in {k for k, _, _ in spans}:
+                        seen[kind + "\n"] += 1
+                        seen.update(f"{kind}\n{w}" for w in words)
 
-        near = _count(docs, text, beside).persist()
+        near = _count(docs, text, with_entities).persist()
         overall = None
         try:
-            contexts = near.agg(F.sum("n")).first()[0] or 0
-            candidates = near.where(F.col("n") >= self.min_support).select("term", F.col("n").alias("near"))
-            some = [r[0] for r in candidates.select("term").limit(self.max_terms + 1).collect()]
+            beside = near.where(~F.contains("term", F.lit("\n")))
+            contexts = beside.agg(F.sum("n")).first()[0] or 0
+            parts = F.split("term", "\n")
+            whole = {r[0]: r[1] for r in near.where(F.col("term").endswith("\n")).collect()}  # a row a kind, and one for all
+            candidates = beside.where(F.col("n") >= self.min_support).select("term", F.col("n").alias("near"))
+            pairs = near.where(F.contains("term", F.lit("\n")) & ~F.col("term").endswith("\n") & (F.col("n") >= self.min_support)).select(parts[0].alias("kind"), parts[1].alias("term"), F.col("n").alias("both"))
+            some = [r[0] for r in candidates.select("term").union(pairs.select("term")).distinct().limit(self.max_terms + 1).collect()]
             if not some:
                 return self
             # a set of candidates that is small spares the others' counts the shuffle; else all terms are counted
             shared = docs.sparkSession.sparkContext.broadcast(frozenset(some) if len(some) <= self.max_terms else None)
 
+            # keys: "term" every occurrence, "\\nterm" a text with it, "\\n" every word
             def everywhere(t, seen):
                 words = list(map(str.lower, _WORD.findall(t)))
-                seen["\n"] += len(words)  # the number of all words
-                seen.update(words if shared.value is None else filter(shared.value.__contains__, words))
+                seen["\n"] += len(words)
+                asked = shared.value
+                seen.update(words if asked is None else filter(asked.__contains__, words))
+                if in_texts:
+                    seen.update("\n" + w for w in set(map(str.lower, _WHOLE.findall(t))) if asked is None or w in asked)
 
             overall = _count(docs, text, everywhere).persist()
             base = contexts / overall.where(F.col("term") == "\n").first()[1]
             p = F.col("near") / F.greatest("n", "near")
             disclosing = candidates.join(overall, "term").select("term", p.alias("p")).where((F.col("p") >= self.likely) & (F.col("p") >= base * 2.0**self.gain_bits))
+            if in_texts and len(whole) > 1:
+                disclosing = disclosing.union(self._in_texts(docs, text, pairs, overall, whole)).groupBy("term").agg(F.max("p").alias("p"))
             found = disclosing.limit(self.max_terms + 1).collect()
             if len(found) <= self.max_terms:
                 self.terms = {r[0]: r[1] for r in found}
@@ -189,6 +222,39 @@ class Sanitiser:
                 overall.unpersist()
         return self
 
+    def _in_texts(self, docs: DataFrame, text: str, pairs: DataFrame, overall: DataFrame, whole: dict[str, int]) -> DataFrame:
+        """(term, p) of the terms that disclose a kind by the texts they stand in."""
+        spark = docs.sparkSession
+        total = whole.get("\n", 1)
+        shares = spark.createDataFrame([(k[:-1], n / total) for k, n in whole.items() if k != "\n"], "kind string, base double")
+        texts = overall.where(F.col("term").startswith("\n") & (F.col("term") != "\n")).select(F.substring("term", 2, 1 << 30).alias("term"), "n")
+        p, gain = F.col("both") / F.greatest("n", "both"), F.log2(F.col("p") / F.col("base"))
+        told = pairs.join(texts, "term").join(F.broadcast(shares), "kind").withColumn("p", p)
+        told = told.where((gain >= self.gain_bits) & (gain >= -F.log2("base") * self.share)).select("kind", "term", "p")
+        some = [(r[0], r[1]) for r in told.select("kind", "term").limit(self.max_terms + 1).collect()]
+        if not some:
+            return told.select("term", "p")
+        shared = spark.sparkContext.broadcast(frozenset(some) if len(some) <= self.max_terms else None)
+
+        def run(batches):
+            asked = shared.value
+            for batch in batches:
+                rows = set()
+                for t in batch.column(0).to_pylist():
+                    spans = entities(t) if t else []
+                    if spans:
+                        words, least = whole_words(t, spans), {}
+                        for kind, a, b in spans:  # a text counts by one of its entities of a kind
+                            h = zlib.crc32(t[a:b].encode()) << 31 | zlib.adler32(t[a:b].encode()) >> 1
+                            least[kind] = min(least.get(kind, h), h)
+                        rows.update((kind, w, h) for kind, h in least.items() for w in words if asked is None or (kind, w) in asked)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["kind", "term", "h"])
+
+        each = docs.select(text_of(text)).mapInArrow(run, "kind string, term string, h long").distinct()
+        several = each.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= self.min_support)
+        return told.join(several, ["kind", "term"]).groupBy("term").agg(F.max("p").alias("p"))
+
     def spans(self, text: str, terms: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
         terms = self.terms if terms is None else terms
         found = entities(text)

@@ -7,7 +7,8 @@ partial aggregation of a bounded sample of rows (``SAMPLE_ROWS``). The sample de
 every miss is encoded exactly.
 
 Cutting a text at spaces is exact for a sentencepiece model in whose vocabulary no piece holds a space mark
-after another character (checked when it is loaded): merges then never cross such a place. Runs of spaces and
+after another character and whose normaliser makes each single space a mark (the first is checked for all pieces, the
+second on ``PROBES``, when it is loaded; else whole texts are encoded): merges then never cross such a place. Runs of spaces and
 literal space marks are encoded with the whole text.
 
 Defined results: a null or empty text has 0 tokens and 0 bytes; repeated rows each get a row; other columns
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from facetloom.llm.common import table, text_of
 
 MARK = "▁"
+PROBES = ["a b", "the end of it", "x, y. z!", "1 2 3", "The quick brown fox jumps over the lazy dog"]
 SAMPLE_ROWS = 4_000
 TABLE_WORDS = 30_000
 CACHE_WORDS = 400_000
@@ -47,8 +49,9 @@ def load(path: str):
 
     model = SentencePieceProcessor(model_file=path)
     apart = not any(re.search(f"[^{MARK}]{MARK}", model.id_to_piece(i)) for i in range(model.get_piece_size()))
-    # the normaliser must leave white space alone, and set a mark before the first word
-    apart = apart and model.encode("a  b ", out_type=str) == model.encode("a  b ", out_type=str, add_bos=False) and len(model.encode("  ")) != 0
+    # the normaliser must turn each single space into a mark, and set one before the first word, as before any other
+    apart = apart and all("".join(model.encode(t, out_type=str)) == MARK + t.replace(" ", MARK) for t in PROBES)
+    apart = apart and all(len(model.encode(t)) == sum(len(model.encode(w)) for w in t.split(" ")) for t in PROBES)
     return (lambda texts: [len(model.encode(t)) for t in texts]), apart
 
 

@@ -243,14 +243,14 @@ def test_mtree(spark):
     x += [(900, None, 0), (901, [1.0, float("nan")] + [0.0] * 6, 0), (902, [None] * 8, 0), (950, [1.0, 2.0], 0), (None, [0.1] * 8, 0)]
     df = spark.createDataFrame(x, "vec_id long, embedding array<double>, page int").repartition(4)
     got = defaultdict(list)
-    for r in MTreeIndex(page=128, leaf=16).fit(df).top(df, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+    for r in MTreeIndex(page=128, leaf=16).fit(df, F.col("vec_id") % 50 == 0).top(5).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     v = {i: np.floor(256 * np.array(e)).astype(int) for i, e, _ in x if i is not None and e and None not in e and np.isfinite(e).all()}
     for q in (i for i in v if i % 50 == 0):
         want = sorted(((-int(v[q] @ v[o]), o) for o in v if o != q and len(v[o]) == len(v[q])))[:5]
         assert got.get(q, []) == [(o, -s) for s, o in want]
     none = df.where("vec_id < 0")
-    assert MTreeIndex().fit(none).top(none, F.col("vec_id") % 50 == 0, 5).count() == 0
+    assert MTreeIndex().fit(none, F.col("vec_id") % 50 == 0).top(5).count() == 0
 
 
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])

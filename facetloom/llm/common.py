@@ -79,21 +79,28 @@ class Scratch:
                 _MADE.remove(path)
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, rows_per_task: int = 2_000, most_keys: int = 1_000) -> DataFrame:
-    """Inner join of ``many`` with ``one`` (a row per ``key``), where a few keys may hold most rows of ``many``.
-
-    Keys with more than ``rows_per_task`` rows, and than a ``most_keys``-th of all, are dealt to several tasks: their row
-    of ``one`` is repeated for each. There are at most ``most_keys`` of them, so that their list can be broadcast.
-    """
+def hot_keys(many: DataFrame, key: str, rows_per_task: int = 2_000, most_keys: int = 1_000) -> DataFrame | None:
+    """(key, __parts): the keys with more than ``rows_per_task`` rows of ``many``, and than a ``most_keys``-th of all such
+    rows, and to how many tasks they are to be dealt. There are at most ``most_keys``, so that the list can be broadcast."""
     counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_task)
     total = counts.agg(F.sum("__n")).first()[0]
     if not total:
-        return many.join(one, key)
+        return None
     limit = max(rows_per_task, total // most_keys)
-    hot = F.broadcast(counts.where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
-    salted = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != key] or [key]), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    repeated = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    return salted.join(repeated, [key, "__salt"]).drop("__salt")
+    return F.broadcast(counts.where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``many`` with ``one`` (few rows per ``key``), where the keys of ``hot`` hold most rows of ``many``.
+
+    Rows of hot keys are dealt to several tasks by a hash of the columns ``by``, and the rows of ``one`` are repeated for each.
+    """
+    if hot is None:
+        return many.join(one, key, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    salted = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("__parts")
+    repeated = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return salted.join(repeated, [key, "__salt"], how).drop("__salt")
 
 
 def let(value: Column, body) -> Column:

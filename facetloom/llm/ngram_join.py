@@ -9,14 +9,16 @@ still reach the threshold t; what is smaller by its sizes is never accumulated:
   ``n - ceil(t n) + 1`` of both rows, and ``EXTRA`` of them among the first ``n - ceil(t n) + EXTRA``. Overlap counts
   are accumulated over those columns of the matrix, and pairs below the bound are discarded.
 
-An n-gram is common if at least ``COMMON`` texts hold one of its 32-bit fingerprint. These counts are exact and
-cover the corpus; tasks send sorted fingerprints as compressed differences, about 2 bytes each. The at most
-``MAX_COMMON`` most frequent ones are broadcast. Blocks of other n-grams thus hold fewer than ``COMMON`` rows (more only in a corpus where the
-table is full) and give all their pairs. Blocks of common n-grams, which stand in a prefix only of a text that is made of them, are
-joined with one pivot for each size class first, the row with the fewest rare n-grams. After that, only pairs of
-different components are left to try that share no rare n-gram (others gave a pair above). All r rare n-grams of
-such a row stand in its prefix, so the two share ``min(n - r)`` at most; all pairs where this reaches the overlap
-that the threshold asks for are tried.
+An n-gram is common if at least ``COMMON`` texts hold one of its 48-bit fingerprint. These counts cover the corpus; tasks
+send sorted fingerprints as compressed differences, about 4 bytes each, with counts up to 65,535, beyond which they stay
+there: the order of n-grams has to be one for all texts, not exact. The at most ``MAX_COMMON`` most frequent ones are
+broadcast. Blocks of other n-grams thus hold fewer than ``COMMON`` rows and give all their pairs; where the table could not
+hold all common ones, the blocks are counted, and larger ones are treated as those of common n-grams. Blocks of common
+n-grams, which stand in a prefix only of a text that is made of them, are joined with one pivot for each size class
+first, the row with the fewest rare n-grams. After that, only pairs of different components are left to try. The first
+n-gram that such a pair shares, in the order of all, stands in both prefixes, at places i and j (else it gave a pair
+above), so the two share ``min(n - i, m - j)`` at most; all pairs where this reaches the overlap that the threshold asks for
+are tried.
 
 Every candidate is verified on the whole sets. Links connect rows; the result is a component per text.
 
@@ -40,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import forget, numbered, stored, table, text_of
+from facetloom.llm.common import Scratch, forget, hot_keys, numbered, spread_join, stored, table, text_of
 from facetloom.llm.components import components
 from facetloom.llm.shingles import sets, signature
 
@@ -48,32 +50,35 @@ WIDTH, PERCENT, EXTRA = 3, 90, 4
 COMMON, MAX_COMMON, FLUSH = 24, 2_000_000, 2_000_000
 BLOCK_ROWS, BLOCK_GRAMS, SLICE = 512, 1_000_000, 4096
 BROADCAST_IDS = 1_000_000
+FINGERPRINT_BITS, MOST = 48, 65_535
+PAIRS_PER_TASK = 256
 
 
 def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
-    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    counts = np.minimum(counts, 65535).astype("<u2")
-    planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.view(np.uint8).reshape(-1, 2).T.tobytes()
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    counts = np.minimum(counts, MOST).astype("<u2")
+    planes = steps.view(np.uint8).reshape(-1, 8).T[:6].tobytes() + counts.view(np.uint8).reshape(-1, 2).T.tobytes()
     return len(values).to_bytes(8, "little") + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
     planes = np.frombuffer(pa.decompress(blob[16:], int.from_bytes(blob[8:16], "little"), "zstd", asbytes=True), np.uint8)
-    steps = np.ascontiguousarray(planes[: 4 * n].reshape(4, n).T).view("<u4").ravel()
-    counts = np.ascontiguousarray(planes[4 * n :].reshape(2, n).T).view("<u2").ravel()
-    return np.cumsum(steps, dtype=np.uint32), counts.astype(np.uint32)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = planes[: 6 * n].reshape(6, n).T
+    counts = np.ascontiguousarray(planes[6 * n :].reshape(2, n).T).view("<u2").ravel()
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), counts
 
 
 def _summed(parts):
-    """One sorted run of (values, counts); a count stops at 2**32 - 1. A pair is sorted as one 64-bit number, without an index."""
-    both = np.concatenate([(v.astype(np.uint64) << np.uint64(32)) | c for v, c in parts])
+    """One sorted run of (values, counts); a count stops at ``MOST``. A pair is sorted as one 64-bit number, without an index."""
+    both = np.concatenate([(v << np.uint64(16)) | c.astype(np.uint64) for v, c in parts])
     both.sort()
-    values, counts = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
-    del both
-    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    counts = both.astype(np.uint16)
+    both >>= np.uint64(16)
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
     total = np.add.reduceat(counts, first, dtype=np.uint64)
-    return values[first], np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return both[first], np.minimum(total, np.uint64(MOST)).astype(np.uint16)
 
 
 def _key(sig: bytes | None) -> int | None:
@@ -96,6 +101,25 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold. Their overlap is accumulated slice by slice of the columns; the pair is
+    given up as soon as what is left of the smaller can't reach the bound that the sizes set."""
+    least = -(-percent * (len(x) + len(y)) // (100 + percent))
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    shared = 0
+    for lo in range(0, len(x), SLICE):
+        if shared + len(x) - lo < least:
+            return False
+        part = x[lo : lo + SLICE]
+        at = np.searchsorted(y, part)
+        shared += int((y[np.minimum(at, len(y) - 1)] == part).sum())
+    return shared >= least
+
+
+def _fingerprints(s: np.ndarray) -> np.ndarray:
+    return s >> np.uint64(64 - FINGERPRINT_BITS)
+
+
 class NgramJoin:
     def __init__(self, width: int = WIDTH, percent: int = PERCENT, extra: int = EXTRA, common: int = COMMON, max_common: int = MAX_COMMON):
         self.width, self.percent, self.extra, self.common, self.max_common = width, percent, extra, common, max_common
@@ -105,11 +129,11 @@ class NgramJoin:
 
     def _signed(self, docs: DataFrame, shards_log2: int, id_type: str) -> DataFrame:
         """Per text its signature and set size; and per task the fingerprints of its sets, cut in shards."""
-        width, shift = self.width, 32 - shards_log2
+        width, shift = self.width, FINGERPRINT_BITS - shards_log2
 
         def packed(held, key_type):
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            shards = (values >> np.uint32(shift)).astype(np.int64) if shift < 32 else np.zeros(len(values), np.int64)
+            shards = (values >> np.uint64(shift)).astype(np.int64)
             cuts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
             blobs = [_pack(values[a:b], counts[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(values)))]
             nulls = [pa.nulls(len(cuts), kind) for kind in (key_type, pa.int64(), pa.binary(), pa.int64())]
@@ -125,7 +149,7 @@ class NgramJoin:
                     k = len(chunk)
                     sigs = [signature(s) for s in chunk]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), pa.array([len(s) for s in chunk], pa.int64()), pa.array(sigs, pa.binary()), pa.array([_key(x) for x in sigs], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-                    held += [(s >> np.uint64(32)).astype(np.uint32) for s in chunk]
+                    held += [_fingerprints(s) for s in chunk]
                     n_held += sum(map(len, chunk))
                     if n_held > FLUSH:
                         yield packed(held, key_type)
@@ -136,7 +160,7 @@ class NgramJoin:
         return docs.mapInArrow(run, f"id {id_type}, n long, sig binary, key long, shard int, blob binary")
 
     def _common(self, blobs: DataFrame, shards: int):
-        """Sorted fingerprints of common n-grams and their counts, at most ``max_common``."""
+        """Sorted fingerprints of common n-grams and their counts, at most ``max_common``; and whether these are all."""
         least = self.common
 
         def run(batches):
@@ -157,22 +181,24 @@ class NgramJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(values[at].astype(np.int64)), pa.array(counts[at].astype(np.int64))], ["f", "c"])
 
         counted = stored(blobs.repartition(shards, "shard").mapInArrow(run, "f long, c long"))
-        by_size = sorted(counted.groupBy(F.floor(F.log2("c")).alias("k")).count().collect(), key=lambda r: -r[0])
-        total, floor = 0, None
-        for k, n in by_size:  # whole powers of two, the most frequent first, while they fit
-            if total + n > self.max_common:
+        power = F.floor(F.log2("c"))
+        by_size = sorted(counted.groupBy(power.alias("k")).count().collect(), key=lambda r: -r[0])
+        total, chosen, complete = 0, F.lit(False), True
+        for k, n in by_size:  # whole powers of two, the most frequent first, while they fit, then a part of one
+            fit = self.max_common - total
+            chosen = chosen | ((power == k) & (F.pmod("f", F.lit(-(-n // max(fit, 1)))) == 0 if n > fit else F.lit(True)) & F.lit(fit > 0))
+            total, complete = total + min(n, fit), complete and n <= fit
+            if not complete:
                 break
-            total, floor = total + n, k
-        if floor is None:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        rows = counted.where(F.floor(F.log2("c")) >= floor).orderBy("f").toPandas()
-        return rows["f"].to_numpy(np.uint32), rows["c"].to_numpy(np.int64)
+        rows = counted.where(chosen).orderBy("f").toPandas()
+        forget(counted)
+        return rows["f"].to_numpy(np.uint64), rows["c"].to_numpy(np.int32), complete
 
     def _prefixes(self, docs: DataFrame, common) -> DataFrame:
-        """(h, key, n, c, r, hot, sig): the first n-grams of each distinct set; c: common ones among its longer prefix, r: rare
-        ones of all; sig stands in the rows of common n-grams only."""
+        """(h, key, n, c, r, hot, sig, i): the first n-grams of each distinct set; c: common ones among its longer prefix, r: rare
+        ones of all, i: the n-gram's place; sig stands in the rows of common n-grams only."""
         width, percent, extra = self.width, self.percent, self.extra
-        shared = docs.sparkSession.sparkContext.broadcast(common)
+        shared = docs.sparkSession.sparkContext.broadcast(common[:2])
 
         def run(batches):
             values, counts = shared.value
@@ -187,22 +213,34 @@ class NgramJoin:
                         if len(seen) > 200_000:
                             seen.clear()
                         seen.add(sig)
-                        fp = (s >> np.uint64(32)).astype(np.uint32)
+                        fp = _fingerprints(s)
                         at = np.searchsorted(values, fp)
                         weight = np.where((at < len(values)) & (values[np.minimum(at, len(values) - 1)] == fp), counts[np.minimum(at, len(values) - 1)], 0) if len(values) else np.zeros(n, np.int64)
                         base = n - -(-percent * n // 100) + 1
                         order = np.argsort(weight, kind="stable")[: min(n, base + extra - 1)]
                         hot = weight[order] > 0
-                        use = order[~hot | (np.arange(len(order)) < base)]
-                        out.append((s[use].view(np.int64), _key(sig), n, int(hot.sum()), int((weight == 0).sum()), sig, weight[use] > 0))
+                        at = np.flatnonzero(~hot | (np.arange(len(order)) < base))
+                        use = order[at]
+                        out.append((s[use].view(np.int64), _key(sig), n, int(hot.sum()), int((weight == 0).sum()), sig, weight[use] > 0, at))
                     if out:
                         sizes = np.array([len(o[0]) for o in out])
                         row = pa.array(np.repeat(np.arange(len(out)), sizes))
                         columns = [pa.array(np.concatenate([o[0] for o in out])), *(pa.array([o[i] for o in out], kind).take(row) for i, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))), pa.array(np.concatenate([o[6] for o in out]))]
                         sigs = pa.array([o[5] for o in out], pa.binary()).take(pc.if_else(columns[-1], row, pa.scalar(None, row.type)))
-                        yield pa.RecordBatch.from_arrays([*columns, sigs], ["h", "key", "n", "c", "r", "hot", "sig"])
+                        places = pa.array(np.concatenate([o[7] for o in out]), pa.int32())
+                        yield pa.RecordBatch.from_arrays([*columns, sigs, places], ["h", "key", "n", "c", "r", "hot", "sig", "i"])
+
+        return docs.mapInArrow(run, "h long, key long, n int, c int, r int, hot boolean, sig binary, i int")
 
-        return docs.mapInArrow(run, "h long, key long, n int, c int, r int, hot boolean, sig binary")
+    def _large_blocks(self, pre: DataFrame, owners: DataFrame) -> DataFrame:
+        """``pre`` where the blocks that the table could not tell, but that hold ``common`` rows, are those of common n-grams."""
+        rare = pre.where("NOT hot")
+        large = stored(rare.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= self.common).select("h", F.lit(True).alias("large")))
+        told = stored(spread_join(rare, large, "h", hot_keys(rare, "h"), ["key"]).select("h", "key", "n", "c", "r", "i"))
+        more = stored(told.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("more")))
+        named = told.join(owners.select("key", F.col("sig").alias("s")), "key").select("h", "key", "n", "c", "r", F.lit(True).alias("hot"), F.col("s").alias("sig"), "i")
+        others = rare.join(told.select("h", "key"), ["h", "key"], "left_anti").unionByName(pre.where("hot")).unionByName(named)
+        return stored(others.join(more, "key", "left").withColumn("c", F.col("c") + F.coalesce("more", F.lit(0))).select(*pre.columns))
 
     def _sizes_fit(self, a, b):
         return (100 * F.least(a, b) >= self.percent * F.greatest(a, b))
@@ -221,20 +259,19 @@ class NgramJoin:
 
     def _pivot_pairs(self, hot: DataFrame) -> DataFrame:
         """Of a common n-gram's block, each row with the first of its size class."""
-        classed = hot.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int"))
-        pivots = classed.groupBy("h", "k").agg(F.min(F.struct("r", "key")).alias("p")).select("h", "k", F.col("p.key").alias("b"))
-        return classed.join(pivots, ["h", "k"]).where("key <> b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+        classed = hot.select("key", "r", F.struct("h", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).alias("k")).alias("cell"))
+        pivots = classed.groupBy("cell").agg(F.min(F.struct("r", "key")).alias("p")).select("cell", F.col("p.key").alias("b"))
+        return spread_join(classed, pivots, "cell", hot_keys(classed, "cell"), ["key"]).where("key <> b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
     def _cross_pairs(self, hot: DataFrame, found: DataFrame) -> DataFrame:
         """Of common n-grams' blocks, the pairs that lie in different components still."""
-        within = hot.where(100 * (F.col("n") - F.col("r")) >= self.percent * F.col("n"))
-        labelled = stored(within.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("h", "key", "n", "r", F.coalesce("root", "sig").alias("root")))
+        labelled = stored(hot.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("h", "key", "n", "i", F.coalesce("root", "sig").alias("root")))
         mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
         rows = stored(labelled.join(mixed, "h"))
         if rows.isEmpty():
             return rows.select(F.col("key").alias("a"), F.col("key").alias("b"))
-        other = rows.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rareb"), F.col("root").alias("rb"))
-        reach = (100 + self.percent) * F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rareb")) >= self.percent * (F.col("n") + F.col("nb"))
+        other = rows.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("root").alias("rb"))
+        reach = (100 + self.percent) * F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) >= self.percent * (F.col("n") + F.col("nb"))
         return rows.join(other, "h").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("rb")) & self._sizes_fit(F.col("n"), F.col("nb")) & reach).select(F.col("key").alias("a"), "b").distinct()
 
     def _sets(self, pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
@@ -257,7 +294,7 @@ class NgramJoin:
         return made.where(F.col("key").isNotNull()).repartition("key").dropDuplicates(["key", "sig"])
 
     def _verified(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
-        """The links among ``pairs`` of keys, as pairs of signatures. ``grams`` is shuffled once: both joins read the same exchange."""
+        """The links among ``pairs`` of keys, as pairs of signatures. A row of many pairs, as a pivot is, goes to several tasks."""
         percent = self.percent
 
         def run(batches):
@@ -265,14 +302,14 @@ class NgramJoin:
                 keep = []
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                    keep.append(_linked(x, y, percent))
                 links = batch.select(["sa", "sb"]).filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(links.columns, ["a", "b"])
 
         one = grams.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("grams").alias("y"))
         two = grams.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("grams").alias("x"))
-        return pairs.join(one, "b").join(two, "a").select("sa", "sb", "x", "y").mapInArrow(run, "a binary, b binary")
+        left = spread_join(pairs, one, "b", hot_keys(pairs, "b", PAIRS_PER_TASK), ["a"])
+        return spread_join(left, two, "a", hot_keys(pairs, "a", PAIRS_PER_TASK), ["b"]).select("sa", "sb", "x", "y").mapInArrow(run, "a binary, b binary")
 
     def _hot_degrees(self, hot: DataFrame, found: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
         """(sig, links): for rows of common n-grams, all links among them, counted block by block within components."""
@@ -320,6 +357,10 @@ class NgramJoin:
 
     def classes(self, docs: DataFrame, text: str = "text", id_column: str = "doc_id", count: bool = True) -> DataFrame:
         """``id_column``, n_shingles, component_id, and with ``count`` n_links of every row: the links to texts with other sets."""
+        with Scratch(docs.sparkSession) as made:
+            return made.keep(self._classes(docs, text, id_column, count))
+
+    def _classes(self, docs: DataFrame, text: str, id_column: str, count: bool) -> DataFrame:
         rows = self._rows(docs, id_column, text)
         log2 = min(20, max(4, (max(1, docs.count()) // 10_000).bit_length()))
         made = stored(self._signed(rows, log2, docs.schema[id_column].dataType.simpleString()))
@@ -328,9 +369,10 @@ class NgramJoin:
         forget(made)
         owners = stored(signed.where(F.col("sig").isNotNull()).groupBy("sig", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
 
-        prefixes = self._prefixes(rows, common)
-        pre = stored(prefixes)
-        hot = stored(pre.where("hot").select("h", "sig", "key", "n", "r").distinct())
+        pre = stored(self._prefixes(rows, common))
+        if not common[2]:
+            pre = self._large_blocks(pre, owners)
+        hot = stored(pre.where("hot").select("h", "sig", "key", "n", "r", "i").distinct())
         pairs = stored(self._rare_pairs(pre.where("NOT hot")).union(self._pivot_pairs(hot)).distinct())
         forget(pre)
         links = stored(self._verified(pairs, self._sets(pairs, owners, rows)))
@@ -351,8 +393,14 @@ class NgramJoin:
         rooted = owners.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         least = rooted.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("texts"))
         # texts that are alone need no lookup
-        named = rooted.join(least, "root").join(degree, "sig", "left").where("copies > 1 OR texts > 1").select("sig", "component", "links")
-        return signed.join(named, "sig", "left").select(
+        rooted = rooted.select("root", "sig", "copies")
+        whole = spread_join(rooted, least, "root", hot_keys(rooted, "root"), ["sig"])
+        named = whole.join(degree, "sig", "left").where("copies > 1 OR texts > 1").select("sig", "component", "links")
+        # the copies of one text are dealt to several tasks; rows without a set meet nothing
+        held = signed.where("sig IS NOT NULL").select("id", "n", "sig")
+        empty = signed.where("sig IS NULL").select("sig", "id", "n", F.lit(None).cast(dict(named.dtypes)["component"]).alias("component"), F.lit(None).cast("long").alias("links"))
+        joined = spread_join(held, named, "sig", hot_keys(held, "sig"), ["id"], "left").select(*empty.columns)
+        return joined.unionByName(empty).select(
             F.col("id").alias(id_column),
             F.col("n").alias("n_shingles"),
             F.coalesce("component", "id").alias("component_id"),

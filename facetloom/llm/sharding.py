@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import forget, numbered, spread_join, stored, table, text_of
+from facetloom.llm.common import forget, hot_keys, numbered, spread_join, stored, table, text_of
 
 SHARDS = 16
 DIGIT_BITS = 12
@@ -76,7 +76,8 @@ class KdSharder:
         kept = groups.where((F.col("n") > 1) & (F.col("weight") >= leaf * WHOLE) & (F.col("weight") <= leaf)).collect()  # at most shards / WHOLE
         parts = F.when((F.col("n") > 1) & (F.col("weight") > leaf), F.least(F.ceil(F.col("weight") / F.lit(max(leaf * WHOLE, 1.0))), F.lit(TOP + 1))).otherwise(1)
         # a text that is copied very often is dealt to several tasks
-        out = stored(spread_join(points.select("text", "id", "size", "crc"), groups.select("text", parts.cast("long").alias("parts"), *names), "text"))
+        narrow = points.select("text", "id", "size", "crc")
+        out = stored(spread_join(narrow, groups.select("text", parts.cast("long").alias("parts"), *names), "text", hot_keys(narrow, "text"), ["id"]))
         forget(groups)
         return out, kept
 

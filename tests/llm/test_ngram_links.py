@@ -6,7 +6,7 @@ import pytest
 
 from facetloom.llm import ngram_join
 from facetloom.llm.ngram_join import NgramJoin
-from tests.llm.test_operators import documents
+from tests.llm.test_operators import documents, truth
 
 SCHEMA = "doc_id long, text string"
 
@@ -36,3 +36,25 @@ def test_links_of_large_families_are_counted_exactly(spark, monkeypatch, n, perc
         rows.append((i, " ".join(copy)))
     got = {r.doc_id: r.n_links for r in NgramJoin(width=n, percent=percent).classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == links(rows, n, percent)
+
+
+@pytest.mark.parametrize("most", [1, 40, 300])
+def test_a_full_table_of_common_ngrams_loses_nothing(spark, most):
+    """Where not all common n-grams fit the broadcast, the blocks of the others are found by counting."""
+    rows = [(i, text) for i, text, *_ in documents() if i < 1000]
+    rows += [(3000 + i, f"shared passage that stands in many texts {i} " + rows[i][1][:60]) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    figures = lambda join: {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in join.classes(df).collect()}
+    assert figures(NgramJoin(max_common=most)) == figures(NgramJoin())
+    assert {i: n for i, (_, _, n) in figures(NgramJoin(max_common=most)).items()} == links(rows, 3, 90)
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    """Copies, pivots and stars of many rows, with a few rows a task, give the same classes."""
+    for name in ("hot_keys",):
+        original = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda many, key, *a: original(many, key, 5, 100))
+    rows = [(i, text) for i, text, *_ in documents()] + [(4000 + i, documents()[70][1]) for i in range(50)] + [(5000 + i, "") for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in NgramJoin().classes(df).collect()}
+    assert got == truth(rows)

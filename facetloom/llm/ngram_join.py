@@ -9,8 +9,9 @@ still reach the threshold t; what is smaller by its sizes is never accumulated:
   ``n - ceil(t n) + 1`` of both rows, and ``EXTRA`` of them among the first ``n - ceil(t n) + EXTRA``. Overlap counts
   are accumulated over those columns of the matrix, and pairs below the bound are discarded.
 
-An n-gram is common if at least ``COMMON`` texts hold one of its 48-bit fingerprint. These counts cover the corpus; tasks
-send sorted fingerprints as compressed differences, about 4 bytes each, with counts up to 65,535, beyond which they stay
+An n-gram is common if at least ``COMMON`` texts hold one of its fingerprint, of 32 to 48 bits: 15 more than the number of
+rows has, so that fingerprints outnumber n-grams at any size. These counts cover the corpus; tasks send sorted fingerprints
+as compressed differences, 2 to 4 bytes each, with counts up to 65,535, beyond which they stay
 there: the order of n-grams has to be one for all texts, not exact. The at most ``MAX_COMMON`` most frequent ones are
 broadcast. Blocks of other n-grams thus hold fewer than ``COMMON`` rows and give all their pairs; where the table could not
 hold all common ones, the blocks are counted, and larger ones are treated as those of common n-grams. Blocks of common
@@ -35,6 +36,7 @@ other columns are ignored. A null id is a component of its own row's text like a
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,8 @@ WIDTH, PERCENT, EXTRA = 3, 90, 4
 COMMON, MAX_COMMON, FLUSH = 24, 2_000_000, 2_000_000
 BLOCK_ROWS, BLOCK_GRAMS, SLICE = 512, 1_000_000, 4096
 BROADCAST_IDS = 1_000_000
-FINGERPRINT_BITS, MOST = 48, 65_535
-PAIRS_PER_TASK = 256
+LEAST_BITS, MOST_BITS, MOST = 32, 48, 65_535
+PAIRS_PER_TASK, BROADCAST_SETS = 256, 32_000_000
 
 
 def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
@@ -116,8 +118,8 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return shared >= least
 
 
-def _fingerprints(s: np.ndarray) -> np.ndarray:
-    return s >> np.uint64(64 - FINGERPRINT_BITS)
+def _fingerprints(s: np.ndarray, bits: int) -> np.ndarray:
+    return s >> np.uint64(64 - bits)
 
 
 class NgramJoin:
@@ -127,9 +129,9 @@ class NgramJoin:
     def _rows(self, docs: DataFrame, id_column: str, text: str) -> DataFrame:
         return docs.select(F.col(id_column).alias("id"), text_of(text).alias("t"))
 
-    def _signed(self, docs: DataFrame, shards_log2: int, id_type: str) -> DataFrame:
+    def _signed(self, docs: DataFrame, shards_log2: int, bits: int, id_type: str) -> DataFrame:
         """Per text its signature and set size; and per task the fingerprints of its sets, cut in shards."""
-        width, shift = self.width, FINGERPRINT_BITS - shards_log2
+        width, shift = self.width, bits - shards_log2
 
         def packed(held, key_type):
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -149,7 +151,7 @@ class NgramJoin:
                     k = len(chunk)
                     sigs = [signature(s) for s in chunk]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), pa.array([len(s) for s in chunk], pa.int64()), pa.array(sigs, pa.binary()), pa.array([_key(x) for x in sigs], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-                    held += [_fingerprints(s) for s in chunk]
+                    held += [_fingerprints(s, bits) for s in chunk]
                     n_held += sum(map(len, chunk))
                     if n_held > FLUSH:
                         yield packed(held, key_type)
@@ -194,7 +196,7 @@ class NgramJoin:
         forget(counted)
         return rows["f"].to_numpy(np.uint64), rows["c"].to_numpy(np.int32), complete
 
-    def _prefixes(self, docs: DataFrame, common) -> DataFrame:
+    def _prefixes(self, docs: DataFrame, common, bits: int) -> DataFrame:
         """(h, key, n, c, r, hot, sig, i): the first n-grams of each distinct set; c: common ones among its longer prefix, r: rare
         ones of all, i: the n-gram's place; sig stands in the rows of common n-grams only."""
         width, percent, extra = self.width, self.percent, self.extra
@@ -213,7 +215,7 @@ class NgramJoin:
                         if len(seen) > 200_000:
                             seen.clear()
                         seen.add(sig)
-                        fp = _fingerprints(s)
+                        fp = _fingerprints(s, bits)
                         at = np.searchsorted(values, fp)
                         weight = np.where((at < len(values)) & (values[np.minimum(at, len(values) - 1)] == fp), counts[np.minimum(at, len(values) - 1)], 0) if len(values) else np.zeros(n, np.int64)
                         base = n - -(-percent * n // 100) + 1
@@ -293,8 +295,11 @@ class NgramJoin:
         made = docs.join(ids, F.col("id").eqNullSafe(F.col("owner"))).select("t").mapInArrow(run, "key long, sig binary, grams binary")
         return made.where(F.col("key").isNotNull()).repartition("key").dropDuplicates(["key", "sig"])
 
-    def _verified(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
-        """The links among ``pairs`` of keys, as pairs of signatures. A row of many pairs, as a pivot is, goes to several tasks."""
+    def _verified(self, pairs: DataFrame, grams: DataFrame, owners: DataFrame) -> DataFrame:
+        """The links among ``pairs`` of keys, as pairs of signatures. ``grams`` is shuffled once: all joins read the same exchange.
+
+        The sets of rows with many pairs, as pivots have, are broadcast if they are within ``BROADCAST_SETS`` bytes, else repeated
+        for several tasks."""
         percent = self.percent
 
         def run(batches):
@@ -308,8 +313,26 @@ class NgramJoin:
 
         one = grams.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("grams").alias("y"))
         two = grams.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("grams").alias("x"))
-        left = spread_join(pairs, one, "b", hot_keys(pairs, "b", PAIRS_PER_TASK), ["a"])
-        return spread_join(left, two, "a", hot_keys(pairs, "a", PAIRS_PER_TASK), ["b"]).select("sa", "sb", "x", "y").mapInArrow(run, "a binary, b binary")
+        hot_a, hot_b = hot_keys(pairs, "a", PAIRS_PER_TASK), hot_keys(pairs, "b", PAIRS_PER_TASK)
+        hot = [h.select(F.col(c).alias("key")) for c, h in (("a", hot_a), ("b", hot_b)) if h is not None]
+        if not hot:
+            joined = pairs.join(one, "b").join(two, "a")
+        else:
+            keys = stored(hot[0].union(hot[-1]).distinct())
+            size = keys.join(owners, "key").agg(F.sum("n")).first()[0] or 0
+            if 8 * size > BROADCAST_SETS:
+                joined = spread_join(spread_join(pairs, one, "b", hot_b, ["a"]), two, "a", hot_a, ["b"])
+            else:
+                few = F.broadcast(grams.join(F.broadcast(keys), "key"))
+                sides = {"a": (two, few.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("grams").alias("x"))), "b": (one, few.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("grams").alias("y")))}
+                marked = pairs.join(F.broadcast(keys.select(F.col("key").alias("a"), F.lit(True).alias("ha"))), "a", "left").join(F.broadcast(keys.select(F.col("key").alias("b"), F.lit(True).alias("hb"))), "b", "left")
+                parts = []
+                for a in (0, 1):
+                    for b in (0, 1):
+                        part = marked.where((F.col("ha").isNotNull() == F.lit(bool(a))) & (F.col("hb").isNotNull() == F.lit(bool(b)))).select("a", "b")
+                        parts.append(part.join(sides["b"][b], "b").join(sides["a"][a], "a").select("sa", "sb", "x", "y"))
+                joined = reduce(DataFrame.union, parts)
+        return joined.select("sa", "sb", "x", "y").mapInArrow(run, "a binary, b binary")
 
     def _hot_degrees(self, hot: DataFrame, found: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
         """(sig, links): for rows of common n-grams, all links among them, counted block by block within components."""
@@ -362,24 +385,26 @@ class NgramJoin:
 
     def _classes(self, docs: DataFrame, text: str, id_column: str, count: bool) -> DataFrame:
         rows = self._rows(docs, id_column, text)
-        log2 = min(20, max(4, (max(1, docs.count()) // 10_000).bit_length()))
-        made = stored(self._signed(rows, log2, docs.schema[id_column].dataType.simpleString()))
+        total = docs.count()
+        log2 = min(20, max(4, (total // 10_000).bit_length()))
+        bits = min(MOST_BITS, max(LEAST_BITS, total.bit_length() + 15))
+        made = stored(self._signed(rows, log2, bits, docs.schema[id_column].dataType.simpleString()))
         signed = stored(made.where(F.col("shard").isNull()).select("id", "n", "sig", "key"))
         common = self._common(made.where(F.col("shard").isNotNull()).select("shard", "blob"), 1 << log2)
         forget(made)
-        owners = stored(signed.where(F.col("sig").isNotNull()).groupBy("sig", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+        owners = stored(signed.where(F.col("sig").isNotNull()).groupBy("sig", "key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
 
-        pre = stored(self._prefixes(rows, common))
+        pre = stored(self._prefixes(rows, common, bits))
         if not common[2]:
             pre = self._large_blocks(pre, owners)
         hot = stored(pre.where("hot").select("h", "sig", "key", "n", "r", "i").distinct())
         pairs = stored(self._rare_pairs(pre.where("NOT hot")).union(self._pivot_pairs(hot)).distinct())
         forget(pre)
-        links = stored(self._verified(pairs, self._sets(pairs, owners, rows)))
+        links = stored(self._verified(pairs, self._sets(pairs, owners, rows), owners))
         found = components(links)
         more = stored(self._cross_pairs(hot, found))
         if not more.isEmpty():
-            links = stored(links.union(self._verified(more, self._sets(more, owners, rows))))
+            links = stored(links.union(self._verified(more, self._sets(more, owners, rows), owners)))
             found = components(links)
 
         if count:

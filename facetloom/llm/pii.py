@@ -46,6 +46,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 _WHOLE = re.compile(r"(?<!\w)[^\W\d_]{2,}(?!\w)")
+_RUN = re.compile(r"\w+")
+FEW_TERMS = 64
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -135,6 +137,20 @@ def context(text: str, spans, window: int = WINDOW) -> list[tuple[str, int, int]
     return [(m.group().lower(), m.start(), m.end()) for m in _outside([out[k] for k in sorted(out)], spans)]
 
 
+def runs(text: str) -> list[str]:
+    """The runs of word characters, in lower case; the text is lower-cased at once where that is the same for each word."""
+    lower = text.lower()
+    return _RUN.findall(lower) if len(lower) == len(text) and "\u03a3" not in text else [w.lower() for w in _RUN.findall(text)]
+
+
+def may_hold(text: str, terms) -> bool:
+    """False only if none of the terms stands in the text."""
+    lower = text.lower()
+    if len(lower) != len(text) or "\u03a3" in text:
+        return True
+    return any(t in lower for t in terms) if len(terms) <= FEW_TERMS else not terms.keys().isdisjoint(_WORD.findall(lower))
+
+
 def whole_words(text: str, spans) -> set[str]:
     """The different words of letters alone that stand outside all spans."""
     return {m.group().lower() for m in _outside(_WHOLE.finditer(text), spans)}
@@ -198,12 +214,18 @@ class Sanitiser:
 
             # keys: "term" every occurrence, "\\nterm" a text with it, "\\n" every word
             def everywhere(t, seen):
-                words = list(map(str.lower, _WORD.findall(t)))
-                seen["\n"] += len(words)
+                whole, words = [], []
+                for w in runs(t):
+                    if w.isalpha():
+                        whole.append(w)
+                    else:
+                        words += _WORD.findall(w)
+                seen["\n"] += len(words) + len(whole)
                 asked = shared.value
                 seen.update(words if asked is None else filter(asked.__contains__, words))
+                seen.update(whole if asked is None else filter(asked.__contains__, whole))
                 if in_texts:
-                    seen.update("\n" + w for w in set(map(str.lower, _WHOLE.findall(t))) if asked is None or w in asked)
+                    seen.update("\n" + w for w in (set(whole) if asked is None else asked.intersection(whole)) if len(w) > 1)
 
             overall = _count(docs, text, everywhere).persist()
             base = contexts / overall.where(F.col("term") == "\n").first()[1]
@@ -258,7 +280,7 @@ class Sanitiser:
     def spans(self, text: str, terms: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
         terms = self.terms if terms is None else terms
         found = entities(text)
-        if terms and self.everywhere:
+        if terms and self.everywhere and may_hold(text, terms):
             named = [m for m in _WORD.finditer(text) if m.group().lower() in terms]
             found += [("term", m.start(), m.end()) for m in _outside(named, found)]
         elif found and terms:

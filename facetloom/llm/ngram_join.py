@@ -53,7 +53,7 @@ COMMON, MAX_COMMON, FLUSH = 24, 2_000_000, 2_000_000
 BLOCK_ROWS, BLOCK_GRAMS, SLICE = 512, 1_000_000, 4096
 BROADCAST_IDS = 1_000_000
 LEAST_BITS, MOST_BITS, MOST = 32, 48, 65_535
-PAIRS_PER_TASK, BROADCAST_SETS = 256, 32_000_000
+PAIRS_PER_TASK = 2_000
 
 
 def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
@@ -295,43 +295,33 @@ class NgramJoin:
         made = docs.join(ids, F.col("id").eqNullSafe(F.col("owner"))).select("t").mapInArrow(run, "key long, sig binary, grams binary")
         return made.where(F.col("key").isNotNull()).repartition("key").dropDuplicates(["key", "sig"])
 
-    def _verified(self, pairs: DataFrame, grams: DataFrame, owners: DataFrame) -> DataFrame:
-        """The links among ``pairs`` of keys, as pairs of signatures. ``grams`` is shuffled once: all joins read the same exchange.
+    def _verified(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
+        """The links among ``pairs`` of keys, as pairs of signatures. ``grams`` is shuffled once: both joins read the same exchange.
 
-        The sets of rows with many pairs, as pivots have, are broadcast if they are within ``BROADCAST_SETS`` bytes, else repeated
-        for several tasks."""
+        Pairs of rows that have over ``PAIRS_PER_TASK`` of them, as pivots have, are joined apart, dealt to several tasks."""
         percent = self.percent
 
         def run(batches):
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    keep.append(_linked(x, y, percent))
+                xs, ys = batch.column("x"), batch.column("y")
+                for i in range(batch.num_rows):  # the sets are read where they lie
+                    keep.append(_linked(np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64), percent))
                 links = batch.select(["sa", "sb"]).filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(links.columns, ["a", "b"])
 
         one = grams.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("grams").alias("y"))
         two = grams.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("grams").alias("x"))
         hot_a, hot_b = hot_keys(pairs, "a", PAIRS_PER_TASK), hot_keys(pairs, "b", PAIRS_PER_TASK)
-        hot = [h.select(F.col(c).alias("key")) for c, h in (("a", hot_a), ("b", hot_b)) if h is not None]
-        if not hot:
-            joined = pairs.join(one, "b").join(two, "a")
-        else:
-            keys = stored(hot[0].union(hot[-1]).distinct())
-            size = keys.join(owners, "key").agg(F.sum("n")).first()[0] or 0
-            if 8 * size > BROADCAST_SETS:
-                joined = spread_join(spread_join(pairs, one, "b", hot_b, ["a"]), two, "a", hot_a, ["b"])
-            else:
-                few = F.broadcast(grams.join(F.broadcast(keys), "key"))
-                sides = {"a": (two, few.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("grams").alias("x"))), "b": (one, few.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("grams").alias("y")))}
-                marked = pairs.join(F.broadcast(keys.select(F.col("key").alias("a"), F.lit(True).alias("ha"))), "a", "left").join(F.broadcast(keys.select(F.col("key").alias("b"), F.lit(True).alias("hb"))), "b", "left")
-                parts = []
-                for a in (0, 1):
-                    for b in (0, 1):
-                        part = marked.where((F.col("ha").isNotNull() == F.lit(bool(a))) & (F.col("hb").isNotNull() == F.lit(bool(b)))).select("a", "b")
-                        parts.append(part.join(sides["b"][b], "b").join(sides["a"][a], "a").select("sa", "sb", "x", "y"))
-                joined = reduce(DataFrame.union, parts)
+        joined = pairs.join(one, "b").join(two, "a").select("sa", "sb", "x", "y")
+        if hot_a is not None or hot_b is not None:
+            of = {c: h.select(c, F.lit(True).alias(f"h{c}")) for c, h in (("a", hot_a), ("b", hot_b)) if h is not None}
+            marked = reduce(lambda p, c: p.join(F.broadcast(of[c]), c, "left"), of, pairs)
+            warm = reduce(lambda x, y: x | y, [F.col(f"h{c}").isNotNull() for c in of])
+            few, cold = marked.where(warm).select("a", "b"), marked.where(~warm).select("a", "b")
+            some = lambda side, c: side.join(few.select(c).distinct(), c, "left_semi")
+            spread = spread_join(spread_join(few, some(one, "b"), "b", hot_b, ["a"]), some(two, "a"), "a", hot_a, ["b"])
+            joined = cold.join(one, "b").join(two, "a").select(*joined.columns).union(spread.select(*joined.columns))
         return joined.select("sa", "sb", "x", "y").mapInArrow(run, "a binary, b binary")
 
     def _hot_degrees(self, hot: DataFrame, found: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
@@ -392,7 +382,7 @@ class NgramJoin:
         signed = stored(made.where(F.col("shard").isNull()).select("id", "n", "sig", "key"))
         common = self._common(made.where(F.col("shard").isNotNull()).select("shard", "blob"), 1 << log2)
         forget(made)
-        owners = stored(signed.where(F.col("sig").isNotNull()).groupBy("sig", "key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+        owners = stored(signed.where(F.col("sig").isNotNull()).groupBy("sig", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
 
         pre = stored(self._prefixes(rows, common, bits))
         if not common[2]:
@@ -400,11 +390,11 @@ class NgramJoin:
         hot = stored(pre.where("hot").select("h", "sig", "key", "n", "r", "i").distinct())
         pairs = stored(self._rare_pairs(pre.where("NOT hot")).union(self._pivot_pairs(hot)).distinct())
         forget(pre)
-        links = stored(self._verified(pairs, self._sets(pairs, owners, rows), owners))
+        links = stored(self._verified(pairs, self._sets(pairs, owners, rows)))
         found = components(links)
         more = stored(self._cross_pairs(hot, found))
         if not more.isEmpty():
-            links = stored(links.union(self._verified(more, self._sets(more, owners, rows), owners)))
+            links = stored(links.union(self._verified(more, self._sets(more, owners, rows))))
             found = components(links)
 
         if count:

@@ -137,10 +137,22 @@ def context(text: str, spans, window: int = WINDOW) -> list[tuple[str, int, int]
     return [(m.group().lower(), m.start(), m.end()) for m in _outside([out[k] for k in sorted(out)], spans)]
 
 
-def runs(text: str) -> list[str]:
-    """The runs of word characters, in lower case; the text is lower-cased at once where that is the same for each word."""
+def cut(text: str) -> tuple[list[str], list[str]]:
+    """The words that are runs of letters alone, and those that are parts of other runs, in lower case.
+
+    The text is lower-cased at once where that is the same for each word."""
     lower = text.lower()
-    return _RUN.findall(lower) if len(lower) == len(text) and "\u03a3" not in text else [w.lower() for w in _RUN.findall(text)]
+    if len(lower) != len(text) or "\u03a3" in text:
+        whole = [m.group().lower() for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", text)]
+        parts = [p.lower() for w in _RUN.findall(text) if not w.isalpha() for p in _WORD.findall(w)]
+        return whole, parts
+    whole, parts = [], []
+    for w in _RUN.findall(lower):
+        if w.isalpha():
+            whole.append(w)
+        else:
+            parts += _WORD.findall(w)
+    return whole, parts
 
 
 def may_hold(text: str, terms) -> bool:
@@ -214,12 +226,7 @@ class Sanitiser:
 
             # keys: "term" every occurrence, "\\nterm" a text with it, "\\n" every word
             def everywhere(t, seen):
-                whole, words = [], []
-                for w in runs(t):
-                    if w.isalpha():
-                        whole.append(w)
-                    else:
-                        words += _WORD.findall(w)
+                whole, words = cut(t)
                 seen["\n"] += len(words) + len(whole)
                 asked = shared.value
                 seen.update(words if asked is None else filter(asked.__contains__, words))

@@ -49,7 +49,8 @@ from facetloom.llm.components import components
 from facetloom.llm.shingles import sets, signature
 
 WIDTH, PERCENT, EXTRA = 3, 90, 4
-COMMON, MAX_COMMON, FLUSH = 24, 2_000_000, 2_000_000
+COMMON, MAX_COMMON = 24, 2_000_000
+FLUSH, MERGE, ROWS_PER_SHARD = 1_000_000, 500_000, 1_000  # a Python worker holds some tens of MB of fingerprints
 BLOCK_ROWS, BLOCK_GRAMS, SLICE = 512, 1_000_000, 4096
 BROADCAST_IDS = 1_000_000
 LEAST_BITS, MOST_BITS, MOST = 32, 48, 65_535
@@ -173,7 +174,7 @@ class NgramJoin:
                     part = _unpack(blob)
                     held.setdefault(shard, []).append(part)
                     size += len(part[0])
-                    if size > FLUSH:
+                    if size > MERGE:
                         for k in held:
                             held[k] = [_summed(held[k])]
                         size = 0
@@ -376,7 +377,7 @@ class NgramJoin:
     def _classes(self, docs: DataFrame, text: str, id_column: str, count: bool) -> DataFrame:
         rows = self._rows(docs, id_column, text)
         total = docs.count()
-        log2 = min(20, max(4, (total // 10_000).bit_length()))
+        log2 = min(20, max(4, (total // ROWS_PER_SHARD).bit_length()))
         bits = min(MOST_BITS, max(LEAST_BITS, total.bit_length() + 15))
         made = stored(self._signed(rows, log2, bits, docs.schema[id_column].dataType.simpleString()))
         signed = stored(made.where(F.col("shard").isNull()).select("id", "n", "sig", "key"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import forget, stored, table
+from facetloom.llm.common import forget, stored, table, tidy
 
 PAGE, LEAF, QUERY_BLOCK, HEADERS = 4096, 256, 512, 4096
 MAX_CELLS, PIVOT_SAMPLE = 512, 4096
@@ -156,7 +156,7 @@ class MTreeIndex:
                     yield _columns(rows, OBJECTS)
 
         known = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), vector, is_query)
-        self.objects = stored(known.mapInArrow(number, OBJECTS))
+        self.objects = stored(known.mapInArrow(tidy(number), OBJECTS))
         total = self.objects.count()
         cells = max(1, min(self.cells, total // page))
         share = min(1.0, PIVOT_SAMPLE / max(total, 1))
@@ -201,9 +201,9 @@ class MTreeIndex:
             if held:
                 yield emit()
 
-        dealt = self.objects.mapInArrow(deal, "uid long, id long, dim int, x binary, cell int")
+        dealt = self.objects.mapInArrow(tidy(deal), "uid long, id long, dim int, x binary, cell int")
         order = ["dim", "cell", "uid"]
-        self.pages = stored(dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(grow, PAGES))
+        self.pages = stored(dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(grow), PAGES))
         return self
 
     def _chunks(self) -> tuple[DataFrame, int]:
@@ -241,7 +241,7 @@ class MTreeIndex:
                         yield _columns([(page, pickle.dumps(block, 5))], "page long, block binary")
 
         met = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(chunks, "chunk")
-        return met.select("queries", "heads").mapInArrow(run, "q long, bound double, page long" if first else "page long, block binary")
+        return met.select("queries", "heads").mapInArrow(tidy(run), "q long, bound double, page long" if first else "page long, block binary")
 
     def _blocks(self, queries: DataFrame, total: int) -> DataFrame:
         """Queries (q, x, worst, done), about ``QUERY_BLOCK`` to a row."""
@@ -260,7 +260,7 @@ class MTreeIndex:
                         yield _columns(rows, "q long, page long, vec_id long, score long")
 
         joined = routed.join(self.pages.select("page", "tree"), "page").select("page", "block", "tree")
-        return joined.mapInArrow(run, "q long, page long, vec_id long, score long")
+        return joined.mapInArrow(tidy(run), "q long, page long, vec_id long, score long")
 
     def top(self, k: int) -> DataFrame:
         """query_id, rank, vec_id, score of the k best for each row that is a query."""
@@ -294,7 +294,7 @@ def pickled(rows: DataFrame) -> DataFrame:
                 for lo in range(0, len(block), QUERY_BLOCK):
                     yield _columns([(page, pickle.dumps(block[lo : lo + QUERY_BLOCK], 5))], "page long, block binary")
 
-    return rows.mapInArrow(run, "page long, block binary")
+    return rows.mapInArrow(tidy(run), "page long, block binary")
 
 
 def op9_mtree_topk(spark, sf_dir: str) -> DataFrame:

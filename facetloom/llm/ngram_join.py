@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import Scratch, forget, hot_keys, numbered, spread_join, stored, table, text_of
+from facetloom.llm.common import Scratch, forget, hot_keys, numbered, spread_join, stored, table, text_of, tidy
 from facetloom.llm.components import components
 from facetloom.llm.shingles import sets, signature
 
@@ -160,7 +160,7 @@ class NgramJoin:
             if n_held:
                 yield packed(held, key_type)
 
-        return docs.mapInArrow(run, f"id {id_type}, n long, sig binary, key long, shard int, blob binary")
+        return docs.mapInArrow(tidy(run), f"id {id_type}, n long, sig binary, key long, shard int, blob binary")
 
     def _common(self, blobs: DataFrame, shards: int):
         """Sorted fingerprints of common n-grams and their counts, at most ``max_common``; and whether these are all."""
@@ -183,7 +183,7 @@ class NgramJoin:
                 at = counts >= least
                 yield pa.RecordBatch.from_arrays([pa.array(values[at].astype(np.int64)), pa.array(counts[at].astype(np.int64))], ["f", "c"])
 
-        counted = stored(blobs.repartition(shards, "shard").mapInArrow(run, "f long, c long"))
+        counted = stored(blobs.repartition(shards, "shard").mapInArrow(tidy(run), "f long, c long"))
         power = F.floor(F.log2("c"))
         by_size = sorted(counted.groupBy(power.alias("k")).count().collect(), key=lambda r: -r[0])
         total, chosen, complete = 0, F.lit(False), True
@@ -233,7 +233,7 @@ class NgramJoin:
                         places = pa.array(np.concatenate([o[7] for o in out]), pa.int32())
                         yield pa.RecordBatch.from_arrays([*columns, sigs, places], ["h", "key", "n", "c", "r", "hot", "sig", "i"])
 
-        return docs.mapInArrow(run, "h long, key long, n int, c int, r int, hot boolean, sig binary, i int")
+        return docs.mapInArrow(tidy(run), "h long, key long, n int, c int, r int, hot boolean, sig binary, i int")
 
     def _large_blocks(self, pre: DataFrame, owners: DataFrame) -> DataFrame:
         """``pre`` where the blocks that the table could not tell, but that hold ``common`` rows, are those of common n-grams."""
@@ -293,7 +293,7 @@ class NgramJoin:
                     sigs = [signature(s) for s in chunk]
                     yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sigs], pa.int64()), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in chunk], pa.binary())], ["key", "sig", "grams"])
 
-        made = docs.join(ids, F.col("id").eqNullSafe(F.col("owner"))).select("t").mapInArrow(run, "key long, sig binary, grams binary")
+        made = docs.join(ids, F.col("id").eqNullSafe(F.col("owner"))).select("t").mapInArrow(tidy(run), "key long, sig binary, grams binary")
         return made.where(F.col("key").isNotNull()).repartition("key").dropDuplicates(["key", "sig"])
 
     def _verified(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ class NgramJoin:
             some = lambda side, c: side.join(few.select(c).distinct(), c, "left_semi")
             spread = spread_join(spread_join(few, some(one, "b"), "b", hot_b, ["a"]), some(two, "a"), "a", hot_a, ["b"])
             joined = cold.join(one, "b").join(two, "a").select(*joined.columns).union(spread.select(*joined.columns))
-        return joined.select("sa", "sb", "x", "y").mapInArrow(run, "a binary, b binary")
+        return joined.select("sa", "sb", "x", "y").mapInArrow(tidy(run), "a binary, b binary")
 
     def _hot_degrees(self, hot: DataFrame, found: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
         """(sig, links): for rows of common n-grams, all links among them, counted block by block within components."""
@@ -367,7 +367,7 @@ class NgramJoin:
                     of, counts = (sa, linked.sum(1)) if same else (sa + sb, np.concatenate([linked.sum(1), linked.sum(0)]))
                     yield pa.RecordBatch.from_arrays([pa.array(of, pa.binary()), pa.array(counts, pa.int64())], ["sig", "links"])
 
-        return joined.select(*columns).mapInArrow(run, "sig binary, links long")
+        return joined.select(*columns).mapInArrow(tidy(run), "sig binary, links long")
 
     def classes(self, docs: DataFrame, text: str = "text", id_column: str = "doc_id", count: bool = True) -> DataFrame:
         """``id_column``, n_shingles, component_id, and with ``count`` n_links of every row: the links to texts with other sets."""

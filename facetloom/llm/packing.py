@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import stored, table, text_of
+from facetloom.llm.common import stored, table, text_of, tidy
 
 CAPACITY = 1024
 END_ID = 2
 GROUPS = 512
 SMALL = 32
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -262,7 +262,7 @@ class Packer:
                     yield pa.RecordBatch.from_arrays([parts.take(take), keys.take(take), *columns], ["part", "id", "piece", "start", "length", "ids_crc32", "number"])
 
         kind = docs.schema[id_column].dataType.simpleString()
-        return plain.mapInArrow(run, f"part int, id {kind}, piece int, start long, length long, ids_crc32 long, number long")
+        return plain.mapInArrow(tidy(run), f"part int, id {kind}, piece int, start long, length long, ids_crc32 long, number long")
 
     def pack(self, docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
         """``id_column``, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
@@ -287,7 +287,7 @@ class Packer:
 
         kind = docs.schema[id_column].dataType.simpleString()
         numbered = made.join(before, ["part", "length"])
-        return numbered.mapInArrow(settle, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_column)
+        return numbered.mapInArrow(tidy(settle), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_column)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import stored, table, text_of
+from facetloom.llm.common import stored, table, text_of, tidy
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, MIN_SUPPORT, MAX_TERMS, SALTS = 3, 20, 50_000, 16
@@ -183,7 +183,7 @@ def _count(docs: DataFrame, text: str, of) -> DataFrame:
         if seen:
             yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())})
 
-    return docs.select(text_of(text)).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select(text_of(text)).mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Sanitiser:
@@ -280,7 +280,7 @@ class Sanitiser:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["kind", "term", "h"])
 
-        each = docs.select(text_of(text)).mapInArrow(run, "kind string, term string, h long").distinct()
+        each = docs.select(text_of(text)).mapInArrow(tidy(run), "kind string, term string, h long").distinct()
         several = each.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= self.min_support)
         return told.join(several, ["kind", "term"]).groupBy("term").agg(F.max("p").alias("p"))
 
@@ -325,7 +325,7 @@ class Sanitiser:
                     words = sorted(set(map(str.lower, _WORD.findall(t))))
                     yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(words, pa.string())], ["__row", "term"])
 
-        words = rows.select("__row", text_of(text)).mapInArrow(run, "__row long, term string").withColumn("salt", F.pmod("__row", F.lit(SALTS)))
+        words = rows.select("__row", text_of(text)).mapInArrow(tidy(run), "__row long, term string").withColumn("salt", F.pmod("__row", F.lit(SALTS)))
         salted = self.table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
         held = words.join(salted, ["term", "salt"]).groupBy("__row").agg(F.collect_list(F.struct("term", "p")).cast(kind).alias("__terms"))
         return rows.join(held, "__row", "left").select(*docs.columns, F.coalesce("__terms", F.array().cast(kind)).alias("__terms"))
@@ -342,7 +342,7 @@ class Sanitiser:
 
         kind = docs.schema[id_column].dataType.simpleString()
         plain = self._looked_up(docs.select(F.col(id_column).alias("id"), text_of(text).alias("t")), "t")
-        return plain.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_column)
+        return plain.mapInArrow(tidy(run), f"id {kind}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_column)
 
     def sanitised(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with the column ``text`` sanitised."""
@@ -354,7 +354,7 @@ class Sanitiser:
                 kept = batch.select(range(batch.num_columns - 1))
                 yield kept.set_column(place, kept.schema.field(place), pa.array(cleaned, kept.schema.field(place).type))
 
-        return self._looked_up(docs, text).mapInArrow(run, docs.schema)
+        return self._looked_up(docs, text).mapInArrow(tidy(run), docs.schema)
 
 
 def _terms(held) -> dict[str, float] | None:

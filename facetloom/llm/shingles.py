@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -25,7 +25,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(of: int, n: int) -> np.ndarray:
     have = _POWERS.get(of)
     if have is None or len(have) < n:
-        size = 1 << max(n, CHUNK_BYTES).bit_length()
+        size = -(-max(n, CHUNK_BYTES) // CHUNK_BYTES) * CHUNK_BYTES
         have = np.full(size, of, np.uint64)
         have[0] = 1
         have = _POWERS[of] = np.multiply.accumulate(have)

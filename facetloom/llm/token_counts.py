@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import table, text_of
+from facetloom.llm.common import table, text_of, tidy
 
 MARK = "▁"
 PROBES = ["a b", "the end of it", "x, y. z!", "1 2 3", "The quick brown fox jumps over the lazy dog"]
@@ -122,7 +122,7 @@ class TokenCounter:
                 yield pa.RecordBatch.from_arrays([batch.column(0), sizes.cast(pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
         kind = docs.schema[id_column].dataType.simpleString()
-        return plain.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_column)
+        return plain.mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_column)
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import table, text_of
+from facetloom.llm.common import table, text_of, tidy
 
 MAX_POSITIVE, MAX_NEGATIVE, VOCABULARY, MIN_TEXTS = 2_500, 5_000, 2_048, 4
 MAX_BYTES = 64_000_000
@@ -167,7 +167,7 @@ class ToxicityModel:
 
         plain = docs.select(F.col(id_column).alias("id"), text_of(text).alias("t"))
         key = docs.schema[id_column].dataType.simpleString()
-        return plain.mapInArrow(run, f"id {key}, score double, sentences array<struct<start:long,end:long,p:double>>").withColumnRenamed("id", id_column)
+        return plain.mapInArrow(tidy(run), f"id {key}, score double, sentences array<struct<start:long,end:long,p:double>>").withColumnRenamed("id", id_column)
 
 
 def held_out(id_column: str = "doc_id"):

@@ -55,14 +55,14 @@ class LicenseScanner:
     """``fit`` orders the template words by corpus frequency; ``matches`` lists the joined blocks, ``scan`` sums up per row."""
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD):
-        self.phrases, self.threshold, self.templates = dict(phrases), threshold, []
+        self.phrases, self.threshold, self.templates, self.sizes = dict(phrases), threshold, [], []
         for label, text in templates:
             words = re.findall(WORDS, _lower(text))
-            size = max(LEAST, 1 << max(0, len(words) - 1).bit_length())
-            self.templates.append((label, list(dict.fromkeys(words)), size))
-        if sum(len(ws) for _, ws, _ in self.templates) > MAX_TEMPLATE_WORDS:
+            self.templates.append((label, list(dict.fromkeys(words))))
+            self.sizes.append(max(LEAST, 1 << max(0, len(words) - 1).bit_length()))
+        if sum(len(ws) for _, ws in self.templates) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words in total")
-        self.rank = {w: i for i, w in enumerate(sorted({w for _, ws, _ in self.templates for w in ws}))}
+        self.rank = {w: i for i, w in enumerate(sorted({w for _, ws in self.templates for w in ws}))}
 
     def need(self, words) -> int:
         return max(1, math.ceil(self.threshold * len(words) - 1e-9))
@@ -77,7 +77,7 @@ class LicenseScanner:
     def index(self) -> list[tuple]:
         """Rows of ``INDEX``: the prefix words of each template, with their place in corpus order."""
         out = []
-        for i, (label, words, size) in enumerate(self.templates):
+        for i, ((label, words), size) in enumerate(zip(self.templates, self.sizes)):
             ordered, need = sorted(words, key=self.rank.get), self.need(words)
             out += [(size, w, place, len(words), need, i, label, ordered) for place, w in enumerate(ordered[: len(words) - need + 1])]
         return out
@@ -85,8 +85,8 @@ class LicenseScanner:
     def blocks(self, docs: DataFrame, keys: list[str], norm: str) -> DataFrame:
         """``keys``, start, size, held: the blocks with a prefix word, and their vocabulary words in corpus order."""
         index, ordered = self.index(), _strings(sorted(self.rank, key=self.rank.get))
-        sizes = sorted({size for _, _, size in self.templates})
-        fewest = {size: min(self.need(ws) for _, ws, s in self.templates if s == size) for size in sizes}
+        sizes = sorted(set(self.sizes))
+        fewest = {size: min(self.need(ws) for (_, ws), s in zip(self.templates, self.sizes) if s == size) for size in sizes}
         prefixes = {size: _strings(sorted({r[1] for r in index if r[0] == size})) for size in sizes}
 
         def windows(words: Column, size: int) -> Column:
@@ -159,7 +159,7 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     scanner = LicenseScanner()
     quoted = lambda ws: "[" + ",".join(f"'{w}'" for w in ws) + "]"
-    templates = ",".join(f"({i},'{label}',{quoted(ws)},{scanner.need(ws)},{size})" for i, (label, ws, size) in enumerate(scanner.templates))
+    templates = ",".join(f"({i},'{label}',{quoted(ws)},{scanner.need(ws)},{size})" for i, ((label, ws), size) in enumerate(zip(scanner.templates, scanner.sizes)))
     phrases = ",".join(f"('{label}',{quoted(p.split())})" for p, label in PHRASES.items())
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),

@@ -55,6 +55,7 @@ BLOCK_ROWS, BLOCK_GRAMS, SLICE = 512, 1_000_000, 4096
 BROADCAST_IDS = 1_000_000
 LEAST_BITS, MOST_BITS, MOST = 32, 48, 65_535
 PAIRS_PER_TASK = 2_000
+CELL_ROWS = 256  # a cell's other side is one pivot, so that it costs next to nothing to deal a cell to many tasks
 
 
 def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
@@ -264,7 +265,7 @@ class NgramJoin:
         """Of a common n-gram's block, each row with the first of its size class."""
         classed = hot.select("key", "r", F.struct("h", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).alias("k")).alias("cell"))
         pivots = classed.groupBy("cell").agg(F.min(F.struct("r", "key")).alias("p")).select("cell", F.col("p.key").alias("b"))
-        return spread_join(classed, pivots, "cell", hot_keys(classed, "cell"), ["key"]).where("key <> b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+        return spread_join(classed, pivots, "cell", hot_keys(classed, "cell", CELL_ROWS), ["key"]).where("key <> b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
     def _cross_pairs(self, hot: DataFrame, found: DataFrame) -> DataFrame:
         """Of common n-grams' blocks, the pairs that lie in different components still."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from facetloom.operators.facets import Facet
 
 RID = "__rid"
+RANGES = 64  # in which the values of a facet are ranked, where there are that many
 VALUES = "facet int, key string, value string, label string, grp string, first_rid long, total long, filtered long"
 
 
@@ -129,19 +130,24 @@ def _multi(rows: DataFrame, i: int, f: Facet, predicates, scope) -> DataFrame:
 
 
 def ranking(f: Facet) -> list[Column]:
+    """Ascending, and no two values are equal in it: where row numbers repeat, so that values share the first, the key decides."""
     a, b = ("filtered", "total") if f.rank == "filtered" else ("total", "filtered")
-    return [F.desc(a), F.desc(b), F.col("key").isNull(), F.col("first_rid")]
-
-
-def ranked(values: DataFrame, order: list[Column], held: list) -> DataFrame:
-    """``values`` with their rank, however many they are: ranges are sorted and numbered apart, and begin where the
-    ranges before them end. The sorted values stay cached (they are appended to ``held``), so that both readings agree."""
-    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    parts = values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", inside).persist()
-    held.append(parts)
+    return [-F.col(a), -F.col(b), F.col("key").isNull(), F.col("first_rid"), F.col("key")]
+
+
+def ranked(values: DataFrame, order: list[Column]) -> DataFrame:
+    """The values of one facet with their rank, however many they are: ranges are numbered apart, and begin where the ranges
+    before them end. A range is found from the values alone, so that it is the same in both readings, cached or not."""
+    placed = values.withColumn("__at", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
+    sample = placed.select("__at").orderBy(F.xxhash64("__at"), "__at").limit(RANGES * 64)
+    cuts = sample.agg(F.filter(F.sort_array(F.collect_list("__at")), lambda c, i: i % 64 == 63).alias("__cuts"))
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(RANGES.bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda n, s: F.when(F.get("__cuts", n + s - 1) <= F.col("__at"), n + s).otherwise(n))  # halving search
+    parts = placed.crossJoin(F.broadcast(cuts)).withColumn("__part", below).drop("__cuts")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     starts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return parts.join(F.broadcast(starts), "__part").withColumn("rank", (F.col("__start") + F.col("__at") + 1).cast("int")).drop("__part", "__at", "__start")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
+    return parts.withColumn("__inside", inside).join(F.broadcast(starts), "__part").withColumn("rank", (F.col("__start") + F.col("__inside")).cast("int")).drop("__part", "__at", "__start", "__inside")
 
 
 def stride_sample(rows: DataFrame, column: Column, most: int = 100_000) -> tuple[int, object, object, list]:

@@ -132,14 +132,14 @@ class DashboardBuilder:
         facets = [replace(f, dtype=kinds.get(f"f_{f.key}", "string")) for f in self.facets]
         metrics = [m.typed(kinds.get(f"m_{m.key}", "string")) for m in self.metrics]
         rows = source.select("*", *[c.alias(n) for f in facets for n, c in f.columns().items()])
-        return Dashboard(_Core(rows, {f.key: f for f in facets}, metrics, list(self.order), self.clock, [source] if persist else []))
+        return Dashboard(_Core(rows, {f.key: f for f in facets}, metrics, list(self.order), self.clock, [source] if persist else [], bool(self.order_key or snapshot)))
 
 
 class _Core:
     """What a dashboard and its scopes share: all rows, definitions, and what was found out about them once."""
 
-    def __init__(self, rows: DataFrame, facets: dict[str, Facet], metrics: list[Metric], order, clock, held: list):
-        self.rows, self.facets, self.metrics, self.order, self.clock, self.held = rows, facets, metrics, order, clock, held
+    def __init__(self, rows: DataFrame, facets: dict[str, Facet], metrics: list[Metric], order, clock, held: list, numbered: bool):
+        self.rows, self.facets, self.metrics, self.order, self.clock, self.held, self.numbered = rows, facets, metrics, order, clock, held, numbered
         self.numbers = {k: i for i, k in enumerate(facets)}
         self._shaped: dict[str, Facet] = {}
         self._bounds: dict[str, tuple] | None = None
@@ -351,7 +351,9 @@ class Dashboard:
         """key, value, label, grp, total, filtered, rank of one facet's values, those counted zero included."""
         found = self.values_frame([self.facet(key).key], selections, now)
         if ranked_too:
-            found = ranked(found, ranking(self.facets[key]), self.core.held)
+            if not self.core.numbered:  # row numbers might differ from one reading to the next
+                self.core.held.append(found := found.persist())
+            found = ranked(found, ranking(self.facets[key]))
         return found.select("key", "value", "label", "grp", "total", "filtered", *["rank"] * ranked_too)
 
     def dictionary(self, key: str) -> DataFrame:
@@ -443,7 +445,7 @@ class Dashboard:
                 best = found.withColumn("a", F.when(by_total, F.col("total")).otherwise(F.col("filtered"))).withColumn("b", F.when(by_total, F.col("filtered")).otherwise(F.col("total")))
                 valued = [number[k] for k in counted if facets[k].valued]
                 limits = {k: facets[k].top or PRESENTED for k in counted if facets[k].valued}
-                order = Window.partitionBy("facet").orderBy(F.desc("picked"), F.desc("a"), F.desc("b"), F.col("key").isNull(), "first_rid")
+                order = Window.partitionBy("facet").orderBy(F.desc("picked"), F.desc("a"), F.desc("b"), F.col("key").isNull(), "first_rid", "key")
                 tops = best.where(F.col("facet").isin(valued)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(limits.values(), default=0))
                 tops = tops.where(F.col("rank") <= by_facet(lambda k: F.lit(limits.get(k, 0)), 0)).drop("rank") if limits else None
                 buckets = best.where(~F.col("facet").isin(valued)) if len(valued) < len(counted) else None
@@ -462,7 +464,7 @@ class Dashboard:
         state = FacetState(f.key, f.kind, f.name or f.key, [], extra.get(f.key, whole), selection, unit=f.unit)
         if f.valued:
             make = lambda r: ValueState(r["key"], f.typed(r["value"]), r["label"], r["grp"], r["total"], r["filtered"], bool(r["picked"]))
-            head = [make(r) for r in sorted(rows, key=lambda r: (-r["a"], -r["b"], r["key"] is None, r["first_rid"]))]
+            head = [make(r) for r in sorted(rows, key=lambda r: (-r["a"], -r["b"], r["key"] is None, r["first_rid"], r["key"] or ""))]
             size = sum(r["n"] for r in sums)
             if f.top or len(head) == size:
                 state.values = ValueStates(head, len(head), None)

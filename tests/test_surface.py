@@ -4,6 +4,8 @@ import threading
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,35 @@ def test_names_with_clashes_and_empty_tables(spark):
     t = spark.createDataFrame([(1, "x", 2, 3, ["v"], date(2026, 1, 1))], t.schema)
     d = DashboardBuilder(t, "id").value("facet").value("total").multi("value").date("filtered").range("rank").build()
     assert {k: len(f.values) for k, f in d.calculate().facets.items()} == {"facet": 1, "total": 1, "value": 1, "filtered": 1, "rank": 1}
+
+
+def test_ranks_without_the_cache(spark):
+    """Every value is as common as the others, so that the first row decides; nothing may rest on what is cached."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t = spark.range(60_000).select("id", (F.col("id") % 30_000).alias("v"))
+        found = DashboardBuilder(t, "id").value("v").count("n").build().facet_counts("v")
+        spark.catalog.clearCache()
+        assert sorted((r["rank"], int(r["value"])) for r in found.collect()) == [(i + 1, i) for i in range(30_000)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_ranks_of_a_table_written_anew(spark, tmp_path):
+    def ranks():
+        d = DashboardBuilder(spark.read.parquet(str(tmp_path / "t.parquet")), "id").value("v").count("n").build()
+        return {r["value"]: r["rank"] for r in d.facet_counts("v").collect()}
+
+    for values in (["a", "b", "b"], ["a", "a", "b"]):
+        pq.write_table(pa.table({"id": [1, 2, 3], "v": values}), tmp_path / "t.parquet")
+        assert ranks() == {values[1]: 1, ({"a", "b"} - {values[1]}).pop(): 2}
+
+
+def test_values_with_the_same_first_row(spark):
+    """Row numbers that repeat leave values equal in counts and first row: the key decides, in ranks as in states and searches."""
+    t = spark.range(4_000).select(F.lit(1).alias("row"), F.format_string("k%04d", F.col("id") * 7 % 2_000).alias("v"))
+    d = DashboardBuilder(t.repartition(5), "row").value("v").count("n").build()
+    expected = [f"k{i:04d}" for i in range(2_000)]
+    assert [r["value"] for r in sorted(d.facet_counts("v").collect(), key=lambda r: r["rank"])] == expected
+    assert [v.value for v in d.calculate().facets["v"].values] == expected
+    assert [v.value for v in d.search("v", "K", 5)] == expected[:5]
